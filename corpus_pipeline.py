@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import bpe_fst, positional, quality_cnn, queries, secrets, simhash
+from wardline.llm import bpe_fst, near_copies, positional, quality_cnn, queries, secrets, simhash
 from wardline.llm.common import written
 from wardline.shipping import shipped
 
@@ -24,7 +24,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies."""
-    return simhash.near_dedup(docs.select(*COLUMNS))
+    return near_copies.near_dedup(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

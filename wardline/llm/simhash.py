@@ -266,8 +266,3 @@ def without(df: DataFrame, removed: DataFrame, id_col: str) -> DataFrame:
     ids = removed.select(F.col("doc_id").alias(id_col))
     return df.join(F.broadcast(ids) if removed.count() <= BROADCAST_IDS else ids, id_col, "left_anti")
 
-
-def near_dedup(df: DataFrame, *, words_per_shingle: int = 5, budget: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input less all but the row of the smallest id of each group of near copies."""
-    prints = written(fingerprints(df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), words_per_shingle=words_per_shingle), "fingerprints")
-    return without(df, written(grouped(prints, budget).where("doc_id <> component_id").select("doc_id"), "removed"), id_col)
