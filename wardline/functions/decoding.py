@@ -50,8 +50,9 @@ def decoded_parts(text: Column) -> Column:
 
 
 def scan_text(text: Column) -> Column:
-    """The text followed by what it hides, one space between; decoding goes one level deep."""
-    return F.concat_ws(" ", text, F.array_join(F.when(suspicious(text), decoded_parts(text)).otherwise(F.array().cast("array<string>")), " "))
+    """The text and, if it hides anything, a space and what it hides, joined by spaces; decoding goes one level deep."""
+    hidden = F.when(suspicious(text), decoded_parts(text))
+    return F.when(F.size(hidden) > 0, F.concat_ws(" ", text, F.array_join(hidden, " "))).otherwise(text)
 
 
 def suspicious(text: Column) -> Column:

@@ -29,7 +29,7 @@ class PromptRules(Policy):
     canary_prefix: str = "CANARY"
     #: A scored tier after the rules: a column function of the text, from 0 to 1; from ``sensitivity`` on it blocks.
     scorer: Callable[[Column], Column] | None = None
-    sensitivity: float = 0.8
+    sensitivity: float = 0.85
     #: Whether a text without a score is blocked.
     fail_closed: bool = True
 
