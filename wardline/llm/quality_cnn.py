@@ -25,8 +25,10 @@ HALF, WIDTH, STRIDE, EMBED, FILTERS = 128, 8, 2, 6, 20
 PAD = 256
 SAMPLE_ROWS, SAMPLE_CHUNKS = 4000, 6
 #: Of every so many samples one is also learned from a short piece alone, since short texts are few.
-SHORT_EVERY = 3
+SHORT_EVERY = 2
 EPOCHS, BATCH, RATE, DECAY = 7, 64, 4e-3, 1e-5
+#: A small sample is gone through more often, to make so many steps.
+MIN_STEPS = 500
 #: Bytes scored at a time.
 BLOCK_BYTES = 1 << 19
 
@@ -57,7 +59,8 @@ class Model:
         """The probability of each whole text."""
         if not texts:
             return np.zeros(0)
-        halves = np.array([max(2, -(-len(t) // HALF)) for t in texts])
+        # A half of padding after each text keeps windows at its end off the next one; it is in no chunk.
+        halves = np.array([max(2, -(-len(t) // HALF)) + 1 for t in texts])
         ends = np.cumsum(halves)
         symbols = np.full(int(ends[-1]) * HALF + WIDTH, PAD, np.int16)
         for t, end, n in zip(texts, ends, halves):
@@ -69,18 +72,18 @@ class Model:
         for at in range(0, total, block):
             n = min(block, total - at)
             pooled[at : at + n] = self._responses(symbols[at * HALF : (at + n) * HALF + WIDTH], n * per).reshape(n, per, FILTERS).max(1)
-        # A chunk is two adjacent halves; a document of n halves has n - 1 chunks.
+        # A chunk is two adjacent halves; a document of n halves and one of padding has n - 1 chunks.
         chunks = np.maximum(np.maximum(pooled[:-1], pooled[1:]) + self.bias, 0)
         starts = ends - halves
         sums = np.add.reduceat(np.concatenate([chunks, np.zeros((1, FILTERS), np.float32)]).astype(np.float64) * _inner(starts, ends)[:, None], starts, axis=0)
-        logits = sums / (halves - 1)[:, None] @ self.out + self.shift
+        logits = sums / (halves - 2)[:, None] @ self.out + self.shift
         return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
 def _inner(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """1 for each half that begins a chunk of its own document, 0 for each document's last half."""
+    """1 for each half that begins a chunk of its own document, 0 for each document's last half and its padding."""
     out = np.ones(int(ends[-1]), np.float64)
-    out[ends - 1] = 0
+    out[ends - 1] = out[ends - 2] = 0
     return out
 
 
@@ -92,7 +95,7 @@ def chunks_of(text: bytes, most: int, seed: int) -> list[bytes]:
 
 
 def train(samples: list[tuple[list[bytes], int]], seed: int = 7) -> Model:
-    """Fit to (chunks, label) samples by Adam; classes count alike.  With one class or none the model is a constant."""
+    """Fit to (chunks, label) samples by Adam; the rarer class counts more.  With one class or none the model is a constant."""
     model = Model(seed)
     labels = np.array([y for _, y in samples], np.float32)
     if len(set(labels.tolist())) < 2:
@@ -103,7 +106,7 @@ def train(samples: list[tuple[list[bytes], int]], seed: int = 7) -> Model:
     for chunks, label in samples[::SHORT_EVERY]:
         piece = chunks[int(r.integers(len(chunks)))]
         at = int(r.integers(max(1, len(piece) - 8)))
-        cut = piece[at : at + int(r.integers(8, HALF))]
+        cut = piece[at : at + int(6 * 20 ** r.random())]
         short.append(([cut], label))
     samples = samples + short
     labels = np.array([y for _, y in samples], np.float32)
@@ -113,13 +116,15 @@ def train(samples: list[tuple[list[bytes], int]], seed: int = 7) -> Model:
     symbols = np.full((int(n_chunks.sum()), size + WIDTH), PAD, np.int16)
     for row, chunk in enumerate(c for own, _ in samples for c in own):
         symbols[row, : len(chunk)] = np.frombuffer(chunk, np.uint8)
-    balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()).astype(np.float32)
+    # Half way between as they are and as many of each: the rarer class counts more, but not so much that doubt is in its favour.
+    balance = np.where(labels == 1, 0.5 / (labels == 1).mean(), 0.5 / (labels == 0).mean()).astype(np.float32) ** 0.5
     per = size // STRIDE
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()]
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-MIN_STEPS * BATCH // len(samples)))
+    for epoch in range(epochs):
         order = r.permutation(len(samples))
-        rate = RATE * (1 - epoch / EPOCHS) + RATE / 20
+        rate = RATE * (1 - epoch / epochs) + RATE / 20
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
             own = n_chunks[docs]

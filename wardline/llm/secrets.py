@@ -13,7 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,6 +28,8 @@ from .common import slices
 KINDS = ("assign", "access", "hex", "named")
 #: A literal from this score on is a secret.
 THRESHOLD = 0.75
+#: An expression of more literals than this is built up, and no constant.
+MAX_PARTS = 64
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,13 +38,14 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Fewest characters: of an assignment's value and of an access key.
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 
-_TARGET = re.compile(r"""(["'`]?)([A-Za-z_$][\w$]*(?:[.\-][\w$]+)*)\1[ \t]*(?:\[[^\]\n]{0,80}\][ \t]*)?(:=|=>|=(?!=)|:(?!:|//|=))[ \t]*""", re.ASCII)
+# Names begin at a boundary and have a length, or long runs of name characters would take quadratic time.
+_TARGET = re.compile(r"""(?<![\w$.\-])(["'`]?)-{0,2}([A-Za-z_$][\w$.\-]{0,99})(?<![.\-])\1[ \t]{0,20}(?:\[[^\]\n]{0,80}\][ \t]{0,20})?(:=|=>|=(?!=)|:(?!:|//|=))[ \t]*""", re.ASCII)
 _ANNOTATION = re.compile(r"[A-Za-z_][\w.\[\], |]{0,60}=(?!=)[ \t]*", re.ASCII)
 _OPERAND = re.compile(r"""[rRbBuUfF]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([A-Za-z_$][\w$]*(?:\.[\w$]+)*)(?![\w$+/=.\-@!#%^&*(])""", re.ASCII)
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
 _BARE = re.compile(r"""[^\s"'`,;<>{}()\[\]]+""")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<>\n]+)</\1\s*>", re.ASCII)
-_URL = re.compile(r"\b[a-z][a-z0-9+.\-]*://[^\s/:@'\"]*:([^\s/@'\"]+)@", re.ASCII)
+_URL = re.compile(r"://[^\s/:@'\"]{0,200}:([^\s/@'\"]{1,200})@", re.ASCII)
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: How much a word of a name says; pairs of adjacent words come first.
@@ -48,7 +53,7 @@ _PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("secret", "key"): 1.0, (
 _SINGLE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "secrets": 0.9, "token": 0.95, "apikey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authtoken": 1.0, "pass": 0.85, "auth": 0.8, "authorization": 0.8}
 #: A name that ends in one of these is about a secret, and isn't one.
 _ABOUT = frozenset("hint field label length len size type name id file path url uri regex pattern policy prompt reset expires expiry ttl count min max required enabled env variable var header placeholder limit manager provider store".split())
-_PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-+|change.?me|example|sample|dummy|test|todo|none|null|nil|true|false|undefined|your[-_ ].*|my[-_ ].*|<.*>|\$\{.*\}?|\$\(.*|\{\{.*|%\(.*|\$[A-Za-z_]\w*|enter[-_ ].*|insert[-_ ].*|placeholder|password|secret|token)$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|-+|change.?me|example|sample|dummy|test|todo|none|null|nil|true|false|undefined|your[-_ ].*|my[-_ ].*|<.*>|\$\{.*\}?|\$\(.*|\{\{.*|%\(.*|\[.*\]|\$[A-Za-z_]\w*|enter[-_ ].*|insert[-_ ].*|placeholder|password|secret|token)$")
 
 
 class Span(NamedTuple):
@@ -103,7 +108,8 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
                 at = a.end()
             literals, end = _expression(text, at, known)
             at = max(at, end)
-            known[name] = literals
+            literals = list(dict.fromkeys(literals))
+            known[name] = literals = literals if len(literals) <= MAX_PARTS else []
             if literals:
                 out.append((name, literals))
     if "</" in text:
@@ -124,8 +130,8 @@ def _expression(text: str, at: int, known: dict[str, list]) -> tuple[list[tuple[
             return literals, at
         if m[4] is None:
             g = next(k for k in (1, 2, 3) if m[k] is not None)
-            literals = [*literals, (m.start(g), m.end(g), True)]
-        elif m[4] in known:
+            literals.append((m.start(g), m.end(g), True))
+        elif m[4] in known and len(literals) <= MAX_PARTS:
             literals = [*literals, *known[m[4]]]
         elif first:
             # An unknown name is a bare value of a configuration, unless more follows.
@@ -133,9 +139,9 @@ def _expression(text: str, at: int, known: dict[str, list]) -> tuple[list[tuple[
                 return [(m.start(4), m.end(4), False)], m.end()
         first = False
         at = m.end()
-        if (join := _PLUS.match(text, at)) is None:
+        if (plus := _PLUS.match(text, at)) is None:
             return literals, at
-        at = join.end()
+        at = plus.end()
 
 
 def named_spans(text: str) -> list[Span]:
@@ -158,7 +164,12 @@ def all_spans(text: str) -> tuple[list[Span], list[Span], list[tuple[int, int]]]
     base = sorted(base_spans(text))
     own = [s for s, _ in base]
     ranges = [(at, s.end) for s, at in base]
-    more = [s for s in named_spans(text) if not any(a < s.end and s.start < b for a, b in ranges)] if "=" in text or ":" in text or "</" in text else []
+    starts, reach = [a for a, _ in sorted(ranges)], list(accumulate((b for _, b in sorted(ranges)), max))
+    more = []
+    for s in named_spans(text) if "=" in text or ":" in text or "</" in text else ():
+        before = bisect_left(starts, s.end)  # the ranges that begin before the span ends
+        if not before or reach[before - 1] <= s.start:
+            more.append(s)
     return own, sorted(own + more), sorted(ranges + [(s.start, s.end) for s in more])
 
 
