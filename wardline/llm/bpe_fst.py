@@ -207,13 +207,11 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers; each distinct unit of a text runs through the transducer once."""
         keys = unit_keys(text)
         memo = self._memo
-        out = [memo.get(k) for k in keys]
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    if (ids := memo.get(keys[i])) is None:
-                        memo.keep(keys[i], ids := self._unit(literal(keys[i])))
-                    out[i] = ids
+        out = list(map(memo.get, keys))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            if (ids := memo.get(keys[i])) is None:
+                memo.keep(keys[i], ids := self._unit(literal(keys[i])))
+            out[i] = ids
         return b"".join(out)
 
     def decode_bytes(self, ids: bytes, chunk: int = 1 << 16) -> Iterator[bytes]:

@@ -10,9 +10,12 @@ own and are in no manifest.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from .huffman import Reader, Writer, code_lengths
 from .units import Memo, literal, unit_keys
 
 #: Memoised text units of one worker.
-UNIT_MEMO = 600_000
+UNIT_MEMO = 1_000_000
 #: A tokenizer file beyond this is not a vocabulary to ship to every worker.
 MAX_TOKENIZER_FILE = 64 << 20
 #: A file is closed at the document that brings it to so many tokens.
@@ -33,30 +36,72 @@ FILE_TOKENS = 32 << 20
 MANIFEST = "part int, seq int, path string, bytes bigint, n_docs bigint, n_tokens bigint"
 
 
+# A unit that splits plainly: a line's first word or a word after a space, then at most one mark.  Its pieces
+# under the byte-level split are the newline, the word with its space, and the mark.  The letters are those on
+# which every version of Unicode agrees.
+_PLAIN = re.compile("(\\n?)((?<!\\n) ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+
+
 class Tokenizer:
-    """The tokenizers library over text units, each distinct unit encoded once."""
+    """The tokenizers library over text units, each distinct unit encoded once.
+
+    Under the usual byte-level split a plain unit's pieces are known, so its word goes to the library as one piece,
+    past its splitter, and is shared with the units that differ by a mark; all other units go to it whole.
+    """
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._library = Library.from_str(definition)
         self._library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._memo = Memo(UNIT_MEMO)
         self.width = self._library.get_vocab_size()
+        self._memo = Memo(UNIT_MEMO)
+        self._words = None
+        spec = json.loads(definition)
+        split = spec.get("pre_tokenizer") or {}
+        if split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer"):
+            self._words = Library.from_str(definition)
+            self._words.encode_special_tokens = True
+            self._words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+            self._marks = {m: self._ids(self._library, [m])[0] for m in ("\n", *".,;:!?")} | {"": b""}
+
+    @staticmethod
+    def _ids(library, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of units that the memo doesn't have."""
+        memo, plain, whole, words = self._memo, {}, [], {}
+        for key in keys:
+            text = literal(key)
+            if self._words is not None and (m := _PLAIN.fullmatch(text)):
+                word = m[2]
+                plain[key] = m[1], (own := word[1:] if word[0] == " " else " " + word), m[3]
+                if own not in words and own not in memo:
+                    words[own] = word
+            else:
+                whole.append(key)
+        fresh = dict(zip(words, self._ids(self._words, list(words.values()))))
+        out = dict(zip(whole, self._ids(self._library, [literal(k) for k in whole])))
+        for key, (before, own, after) in plain.items():
+            ids = fresh.get(own)
+            out[key] = self._marks[before] + (memo[own] if ids is None else ids) + self._marks[after]
+        for key, ids in (fresh | out).items():
+            memo.keep(key, ids)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        memo = self._memo
         keys = [unit_keys(t) for t in texts]
-        found = [[memo.get(k) for k in own] for own in keys]
-        missing = list(dict.fromkeys(k for own, out in zip(keys, found) if None in out for k, ids in zip(own, out) if ids is None))
-        if missing:
-            encoded = self._library.encode_batch_fast([literal(k) for k in missing], add_special_tokens=False)
-            fresh = {k: np.asarray(e.ids, "<u4").tobytes() for k, e in zip(missing, encoded)}
-            for k, ids in fresh.items():
-                memo.keep(k, ids)
-            found = [[fresh[k] if ids is None else ids for k, ids in zip(own, out)] if None in out else out for own, out in zip(keys, found)]
+        found = [list(map(self._memo.get, own)) for own in keys]
+        gaps = [[i for i, ids in enumerate(out) if ids is None] for out in found]
+        if missing := list(dict.fromkeys(own[i] for own, gap in zip(keys, gaps) for i in gap)):
+            fresh = self._encoded(missing)
+            for own, out, gap in zip(keys, found, gaps):
+                for i in gap:
+                    out[i] = fresh[own[i]]
         return [b"".join(out) for out in found]
 
 
@@ -108,16 +153,20 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
     definition = spark.sparkContext.broadcast(read_definition(tokenizer))
 
     def tokenised(rows):
-        tok = _tokenizer(definition.value)
+        import zstandard
+
+        tok, pack = _tokenizer(definition.value), zstandard.ZstdCompressor(level=1).compress
         for batch in _batched(rows, 256):
             for row, ids in zip(batch, tok.encode([t or "" for _, t in batch])):
                 narrow = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                yield row[0], zlib.compress(narrow.astype("<u2").tobytes(), 1) if tok.width <= 1 << 16 else narrow.tobytes()
+                yield row[0], pack(narrow.astype("<u2" if tok.width <= 1 << 16 else "<u4").tobytes())
 
     wide = spark.sparkContext.broadcast(_tokenizer(definition.value).width)
 
     def ids_of(data: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(data), "<u2").astype(np.uint32) if wide.value <= 1 << 16 else np.frombuffer(data, "<u4")
+        import zstandard
+
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u2" if wide.value <= 1 << 16 else "<u4").astype(np.uint32)
 
     def deal(doc_id) -> int:
         return 0 if doc_id is None else int(np.searchsorted(bounds, doc_id, "right"))
