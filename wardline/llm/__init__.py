@@ -8,6 +8,7 @@ Nothing outside this subpackage imports it.  Modules:
 ``components``    connected components of a link table
 ``quality_cnn``   byte-level convolutional network
 ``huffman``       length-limited canonical Huffman token files
+``repeats``         substring dedup by line and sentence hashing
 ``warc``          zstd WARC archives with a dictionary frame
 ``bpe_fst``       byte-level BPE as a lazily determinised transducer
 ``positional``    distributed positional inverted index, decontamination

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_fst, html_text, positional, quality_cnn, secrets, simhash, token_files, topk_search, warc
+from . import bpe_fst, html_text, positional, quality_cnn, repeats, secrets, simhash, token_files, topk_search, warc
 
 #: A text is good from this score on.
 GOOD = 0.7
@@ -56,6 +56,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each repeated passage that goes: documents without one have no row."""
+    return repeats.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words", "n_units", "first_doc_id")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -76,7 +81,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_near_dedup, op3_quality_classifier, op4_token_files, op6_warc, op7_bpe, op8_decontamination, op9_secret_scan, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_topk_search, op2_simhash_near_dedup, op3_quality_classifier, op4_token_files, op5_substring_dedup, op6_warc, op7_bpe, op8_decontamination, op9_secret_scan, op10_html_text)}
 
 SQL = {
     "op1_topk_search": """
