@@ -26,7 +26,7 @@ from .common import slices, written
 #: A segment is closed at the document that brings it to so many bytes of text.
 SEGMENT_BYTES = 12 << 20
 #: Query texts are searched in blocks of so many bytes; each block is one pass over the index.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: Positions between two documents; a window may be as wide.
 GAP = 64
 SEGMENT = "doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, postings binary"

@@ -14,13 +14,14 @@ broadcast doesn't grow with the data.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 #: Queries of a pass, and candidates of a block.
 QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 4096
@@ -30,6 +31,9 @@ QUERY_TILE, DIMENSIONS = 256, 16
 COMPACT = 0.08
 #: Components from here on take no part, so that scores stay exact in 64 bits.
 MAX_COMPONENT = 1 << 26
+#: Query blocks answered in one plan; of more, earlier answers are written to the shared folder.
+PLAN_BLOCKS = 8
+RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
 #: The score of a place that no candidate has taken yet; below every score.
 NONE = -(1 << 62)
 
@@ -170,16 +174,20 @@ def top_k(df: DataFrame, is_query, *, k: int = 20, scale: int = 64, id_col: str
     spark = df.sparkSession
     vectors = quantised(df, id_col, vector_col, scale)
     chosen = vectors.where(is_query(F.col("id"))).groupBy("id").agg(F.min("v").alias("v"))
-    found = None
+    path, waiting, done = scratch(spark, "top-k"), [], False
     for block in _blocks(chosen):
         shared = spark.sparkContext.broadcast(block)
         one = vectors.mapInArrow(lambda batches, shared=shared: _scan(batches, shared.value, k), "query_id bigint, vec_id bigint, score bigint")
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         one = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    return found
+        waiting.append(one)
+        if len(waiting) == PLAN_BLOCKS:
+            # A plan with a branch for each of very many blocks would itself grow with the data.
+            reduce(DataFrame.unionByName, waiting).write.mode("append").parquet(path)
+            waiting, done = [], True
+    if done:
+        waiting.append(spark.read.schema(RESULT).parquet(path))
+    return reduce(DataFrame.unionByName, waiting) if waiting else spark.createDataFrame([], RESULT)
 
 
 def _blocks(chosen: DataFrame) -> Iterator[tuple[list, list]]:
