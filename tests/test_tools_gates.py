@@ -74,6 +74,15 @@ def test_triggers(spark):
     assert [r[0] for r in df.select(fired).collect()] == ["tool_call:pa*", "cost_exceeds:10", "pii_detected", None]
 
 
+def test_gates_after_other_policies(spark):
+    from wardline.plans.policies import Approval
+
+    calls = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-01 00:00:00', 'pay', true, CAST(null AS STRING)), (2, timestamp'2024-01-01 00:00:00', 'read', true, null), (3, timestamp'2024-01-01 00:00:00', 'pay', false, 'TOOL_NOT_ALLOWED'), (4, timestamp'2024-01-01 00:00:00', 'pay', true, null) t(i, ts, tool_name, allowed, reason_code)")
+    said = calls.where("i = 1").select(gates.gate_id(F.col("i")).alias("gate_id"), (F.col("ts") + F.expr("interval 5 seconds")).alias("ts"), F.lit(True).alias("approved"))
+    out = {r["i"]: (r["allowed"], r["reason_code"], r["gate_outcome"]) for r in gates.gated(calls, Approval(("tool_call:pay",), timeout_seconds=60), said, parts=["i"], tool="tool_name").collect()}
+    assert out == {1: (True, None, "approved"), 2: (True, None, None), 3: (False, "TOOL_NOT_ALLOWED", None), 4: (False, "HUMAN_GATE_DENIED", "timeout")}
+
+
 def test_audit_records(spark, tmp_path):
     df = spark.createDataFrame([("s", "héllo", '{"b":1,"a":[2]}')], "s string, t string, p string")
     ts = F.lit("2024-01-01 00:00:00.1234567").cast("timestamp")

@@ -45,7 +45,7 @@ def prepared(messages: DataFrame, policies: list[Policy]) -> DataFrame:
             df = df.withColumns({"final_text": F.coalesce("_new", "final_text"), "pii_detected": F.col("pii_detected") | F.col("_new").isNotNull()})
         elif isinstance(p, CostLimit):
             rates = metering.rate_literal(p.model, {m: (a, b) for m, a, b in p.prices})
-            count = metering.scaled_tokens(metering.estimated_tokens(text), F.lit(p.model))
+            count = metering.scaled_tokens((p.counter or metering.estimated_tokens)(text), F.lit(p.model))
             df = df.withColumn(f"_cost{i}", metering.cost(count, F.when(first, rates[0]).otherwise(rates[1])))
         elif isinstance(p, Audit):
             df = df.withColumn(f"_seen{i}", text)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import any_glob
+from ..plans.policies import CODES, Approval
 
 
 def triggered(triggers: list[str] | tuple[str, ...], *, tool: Column | None = None, spent: Column | None = None, pii: Column | None = None) -> Column:
@@ -44,3 +45,21 @@ def resolve(requests: DataFrame, decisions: DataFrame, *, timeout_seconds: float
     joined = r.join(first, (r[key] == first["_gate"]) & (r["_from"] == first["_start"]), "left")
     outcome = F.when(F.col("_first").isNull(), F.lit("timeout")).when(F.col("_first._ok"), F.lit("approved")).otherwise(F.lit("denied"))
     return joined.select(*[r[c] for c in requests.columns], outcome.alias("outcome"), F.col("_first._at").alias("decided_at"), F.when(F.col("_first").isNull(), F.lit(on_timeout == "allow")).otherwise(F.col("_first._ok")).alias("allowed"))
+
+
+def gated(df: DataFrame, policy: Approval, decisions: DataFrame, *, parts: list[str], ts: str = "ts", tool: str | None = None, spent: str | None = None, pii: str | None = None) -> DataFrame:
+    """``df`` (with ``allowed`` and ``reason_code`` from the policies before) with an approval policy applied after them.
+
+    Rows still allowed that fire a trigger become requests, named by a hash of the columns ``parts`` (unique rows),
+    and are allowed if approved in time.  Adds gate_id, gate_trigger and gate_outcome, null for rows without a gate.
+    """
+    column = lambda name: None if name is None else F.col(name)
+    fired = triggered(policy.triggers, tool=column(tool), spent=column(spent), pii=column(pii))
+    marked = df.withColumn("gate_trigger", F.when(F.col("allowed"), fired))
+    text = F.lit(None).cast("string")
+    free = marked.where("gate_trigger is null").withColumns({"gate_id": text, "gate_outcome": text})
+    asked = marked.where("gate_trigger is not null").withColumn("gate_id", gate_id(*[F.col(p) for p in parts]))
+    answered = resolve(asked.drop("allowed"), decisions, timeout_seconds=policy.timeout_seconds, on_timeout=policy.on_timeout, ts=ts)
+    code = F.when(F.col("allowed"), F.col("reason_code")).otherwise(F.lit(CODES[Approval]))
+    answered = answered.withColumn("reason_code", code).withColumnRenamed("outcome", "gate_outcome").drop("decided_at")
+    return free.unionByName(answered.select(free.columns))

@@ -65,6 +65,8 @@ class CostLimit(Policy):
     mode: str = "block"
     per: str = "session"
     prices: tuple[tuple[str, float, float], ...] = ()
+    #: Counts a text's tokens; the native estimate where there is none.
+    counter: Callable[[Column], Column] | None = None
 
     def __post_init__(self):
         if self.mode not in ("block", "warn") or self.per not in ("session", "global"):
