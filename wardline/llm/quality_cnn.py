@@ -28,7 +28,7 @@ SAMPLE_ROWS, SAMPLE_CHUNKS = 4000, 6
 SHORT_EVERY = 2
 EPOCHS, BATCH, RATE, DECAY = 7, 64, 4e-3, 1e-5
 #: A small sample is gone through more often, to make so many steps.
-MIN_STEPS = 500
+MIN_STEPS = 350
 #: Bytes scored at a time.
 BLOCK_BYTES = 1 << 19
 
