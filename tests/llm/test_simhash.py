@@ -135,6 +135,7 @@ def test_near_copies_against_brute_force(spark, crowd, monkeypatch, small):
         monkeypatch.setattr(near_copies, "BUCKET_DOCS", 20)
         monkeypatch.setattr(near_copies, "BLOCK_DOCS", 15)
         monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(near_copies, "TABLE_BYTES", 0)
     sets = {i: frozenset(simhash.shingle_hashes(simhash.words((t or "").encode()), 5).tolist()) for i, t in crowd}
     want = groups(sets, lambda a, b: (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(written(spark.createDataFrame(crowd, "doc_id bigint, text string"), "crowd")).collect()}
@@ -154,5 +155,15 @@ def test_near_dedup_hard_rows(docs, rows):
     assert near_copies.near_dedup(docs.limit(0)).collect() == []
 
 
+def test_shared_elements_are_counted_either_way(monkeypatch):
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 300, r.integers(0, 90)).astype(np.uint32)) for _ in range(40)]
+    a, b = np.triu_indices(40, 1)
+    want = [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(a, b)]
+    assert near_copies._shared(sets)(a, b).tolist() == want
+    monkeypatch.setattr(near_copies, "TABLE_BYTES", 0)
+    assert near_copies._shared(sets)(a, b).tolist() == want
+
+
 def test_error_budget():
     assert near_copies.error_budget(1.0) == 0 and 15 <= near_copies.error_budget(0.8) <= 20

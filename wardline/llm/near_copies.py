@@ -26,6 +26,10 @@ from .simhash import fingerprint, shingle_hashes, trie_links, without, words
 
 #: Sampled shingles of a document; documents of a bucket before it is cut, and of a block after that.
 ANCHORS, BUCKET_DOCS, BLOCK_DOCS = 6, 1000, 4000
+#: Candidate pairs looked at between two looks at what is joined already.
+RUN = 1024
+#: The most that a bucket's table of shared shingles may take.
+TABLE_BYTES = 64 << 20
 #: So many (id, keys) rows are broadcast at most, to fetch the texts of documents that share a bucket.
 BROADCAST_ROWS = 200_000
 
@@ -110,35 +114,55 @@ class _Bucket:
         sets = [np.frombuffer(self.sets[i], np.uint32) for i in order]
         ids = [self.ids[i] for i in order]
         sizes = np.array([len(s) for s in sets])
-        root = list(range(len(ids)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        shared = _shared(sets)
+        labels = np.arange(len(ids))
         for a, b in trie_links(prints, np.array([0, len(ids)]), budget):
-            near = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b])
+            near = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
             a, b = a[near], b[near]
             by_errors = np.argsort(np.bitwise_count(prints[a] ^ prints[b]), kind="stable")
-            for i, j in zip(a[by_errors].tolist(), b[by_errors].tolist()):
-                x, y = find(i), find(j)
-                if x != y and similar(sets[i], sets[j], similarity):
-                    root[max(x, y)] = min(x, y)
+            # Most pairs of a group of copies are joined by the time they are looked at, so they are dropped in runs.
+            for at in range(0, len(a), RUN):
+                run = by_errors[at : at + RUN]
+                run = run[labels[a[run]] != labels[b[run]]]
+                x, y = a[run], b[run]
+                both = shared(x, y)
+                alike = both >= similarity * (sizes[x] + sizes[y] - both) - 1e-9
+                for i, j in zip(x[alike].tolist(), y[alike].tolist()):
+                    if labels[i] != labels[j]:
+                        labels[labels == max(labels[i], labels[j])] = min(labels[i], labels[j])
         least: dict[int, int] = {}
-        for i, own in enumerate(ids):
-            r = find(i)
-            least[r] = min(least.get(r, own), own)
-        return [(own, least[find(i)]) for i, own in enumerate(ids) if own != least[find(i)]]
+        for own, label in zip(ids, labels.tolist()):
+            least[label] = min(least.get(label, own), own)
+        return [(own, least[label]) for own, label in zip(ids, labels.tolist()) if own != least[label]]
 
 
-def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two ascending sets reaches ``similarity``; two empty sets are alike."""
+def _shared(sets: list[np.ndarray]):
+    """A function of two index arrays: how many elements the sets of each pair share.
+
+    The elements that several sets have are numbered, and a set is a row of bits; where that table would pass
+    TABLE_BYTES, pairs are counted one by one in the sorted sets.
+    """
+    every = np.concatenate([*sets, np.zeros(0, np.uint32)])
+    values, place, count = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    width = (int((count > 1).sum()) + 63) // 64
+    if len(sets) * width * 8 > TABLE_BYTES:
+        return lambda a, b: np.array([_common(sets[i], sets[j]) for i, j in zip(a.tolist(), b.tolist())], np.int64)
+    rows = np.zeros((len(sets), max(1, width)), np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    several = count[place] > 1
+    bit = number[place[several]]
+    np.bitwise_or.at(rows, (owner[several], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return lambda a, b: np.bitwise_count(rows[a] & rows[b]).sum(1, dtype=np.int64)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two ascending sets share."""
+    if not len(a) or not len(b):
+        return 0
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    both = int((b[at] == a).sum()) if len(b) else 0
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+    return int((b[at] == a).sum())
 
 
 def links(docs: DataFrame, rows: DataFrame, *, size: int, similarity: float) -> DataFrame:
