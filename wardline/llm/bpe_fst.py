@@ -34,7 +34,7 @@ from .common import filesystem, slices
 from .units import Memo, literal, unit_keys
 
 #: Memoised text units of one worker.
-UNIT_MEMO = 500_000
+UNIT_MEMO = 300_000
 #: Memoised deterministic states of one worker; emptied when full.
 STATE_MEMO = 350_000
 #: A rank file beyond this is not a vocabulary to ship to every worker.

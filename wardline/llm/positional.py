@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices, written
 
 #: A segment is closed at the document that brings it to so many bytes of text.
-SEGMENT_BYTES = 12 << 20
+SEGMENT_BYTES = 8 << 20
 #: Query texts are searched in blocks of so many bytes; each block is one pass over the index.
 BLOCK_BYTES = 2 << 20
 #: Positions between two documents; a window may be as wide.
