@@ -69,7 +69,8 @@ def repeated_spans(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "
     every = unit_table(df, id_col=id_col, text_col=text_col)
     found = written(every.distinct() if _ids_repeat(df, id_col) else every, "units")
     rank = F.struct("doc_id", "version", "place")
-    groups = found.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("digest", "check", "first")
+    # Written, so that the join deals both of its sides anew and the rows of a very common unit can be split among tasks.
+    groups = written(found.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("digest", "check", "first"), "unit-groups")
     later = found.join(groups, ["digest", "check"]).where(rank != F.col("first")).select("doc_id", "version", "place", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id"))
     island = F.col("place") - F.row_number().over(Window.partitionBy("doc_id", "version").orderBy("place"))
     runs = later.withColumn("island", island).groupBy("doc_id", "version", "island").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("end"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.min("first_doc_id").alias("first_doc_id"))
