@@ -4,7 +4,8 @@ At a Jaccard similarity of 0.8 over five-word shingles, fingerprints of 64 bits
 many for buckets of equal bit blocks.  So documents meet in buckets of sampled shingles instead: each document
 goes to the buckets of its ``ANCHORS`` smallest shingle hashes, and of two documents at 0.8 all but a few in ten
 thousand share one.  In a bucket the binary trie self-join with a large error budget finds the pairs worth a
-check, and the exact similarity of their shingle sets decides.
+check, and the exact similarity of their shingle sets decides.  Fingerprints are voted over the distinct shingles,
+the same sets, so that lines repeated in one of two texts don't part them.
 
 Copies count once.  A bucket of too many documents (a line that many documents share) is cut by second anchors:
 its documents meet where they share two.  What is still too large is dealt into blocks, each pair of blocks a
@@ -50,10 +51,10 @@ def sketches(df: DataFrame, size: int) -> DataFrame:
             digests, prints, keys = [], [], []
             for raw in batch.column(1).to_pylist():
                 own = words(raw)
-                hashes = shingle_hashes(own, size)
+                hashes = np.unique(shingle_hashes(own, size))
                 digests.append(xxh64_intdigest(b" ".join(own), 1))
                 prints.append(fingerprint(hashes))
-                keys.append(np.unique(hashes)[:ANCHORS].view(np.int64))
+                keys.append(hashes[:ANCHORS].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "fp", "keys"])
 
     return df.mapInArrow(run, "doc_id bigint, digest bigint, fp bigint, keys array<bigint>")
@@ -93,7 +94,7 @@ def _with_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
         for batch in slices(batches, 32):
             out = []
             for row in batch.to_pylist():
-                hashes = shingle_hashes(words(row["text"]), size)
+                hashes = np.unique(shingle_hashes(words(row["text"]), size))
                 own = {"doc_id": row["doc_id"], "fp": int(np.array([fingerprint(hashes)], np.uint64).view(np.int64)[0]), "shingles": np.unique(hashes.astype(np.uint32)).tobytes()}
                 out += [b | own for b in row["buckets"]]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
