@@ -77,3 +77,47 @@ def test_hard_rows(docs, rows):
     out = repeats.without_repeats(docs)
     assert out.count() == len(rows) and set(out.columns) == {*docs.columns, "removed"}
     assert {r["doc_id"] for r in out.where("text is null").collect()} == {1}
+
+
+def test_a_passage_set_into_sentences_goes_with_its_part_sentences(spark):
+    r = random.Random(5)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    head, whole, tail = say(20), say(12).capitalize() + ".", say(20).capitalize()
+    passage = f"{head}. {whole} {tail}"
+    inside = f"{say(9)} {passage.upper()} {say(7)}. {say(30)}."
+    rows = [(1, f"{say(30)}. {say(5)} {passage} {say(6)}."), (2, inside), (3, f"{say(20)}. {whole} {say(20)}."), (4, f"{say(30)}.\n{whole}")]
+    at = inside.index(passage.upper())
+    got = spans(written(spark.createDataFrame(rows, "doc_id bigint, text string"), "set-in"))
+    assert got == [(2, at, at + len(passage), 52, 1, 1)]
+
+
+def test_the_query_has_every_long_run_and_every_window_around_a_short_one(spark, sf):
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if r["text"] is not None)
+    got = {tuple(r) for r in queries.op5_substring_dedup(spark, sf).collect()}
+    long = set(plain(rows))
+    assert long < got
+    words, first = {}, {}
+    for i, text in rows:
+        words[i] = repeats.spaced(text)
+        tokens = words[i][0]
+        for at in range(len(tokens) - 24):
+            first.setdefault(tuple(tokens[at : at + 25]), (i, at))
+    for i, a, z, n, _, least in got - long:
+        tokens, starts, stops = words[i]
+        lo, hi = starts.index(a), stops.index(z) + 1
+        assert hi - lo == n and least <= i
+        beside = any(x[0] == i and (x[1] <= z + 1 and a <= x[2] + 1) for x in long)
+        assert beside or n >= 25 and all(any(first[tuple(tokens[k : k + 25])] != (i, k) for k in range(max(lo, w - 24), min(w, hi - 25) + 1)) for w in range(lo, hi))
+    # The other way round: a repeated window that holds a unit of a short run is gone.
+    seen = set()
+    for i, text in rows:
+        tokens, starts, stops = words[i]
+        gone = [(x[1], x[2]) for x in got if x[0] == i]
+        for a, z, n, data in repeats.units(text):
+            if data in seen and not any(x[0] == i and x[1] <= a and z <= x[2] for x in long):
+                for k in range(len(tokens) - 24):
+                    if starts[k] <= a and z <= stops[k + 24]:
+                        at = first[tuple(tokens[k : k + 25])]
+                        if at[0] != i or k >= at[1] + 25:
+                            assert all(any(s <= starts[w] and stops[w] <= e for s, e in gone) for w in range(k, k + 25))
+            seen.add(data)

@@ -6,6 +6,11 @@ and of each the occurrence of the lowest (document, place) is the one that stays
 and adjacent ones join to spans; a span of ``MIN_WORDS`` words or more is a repeated passage and goes.  Spans are
 offsets into the original text.
 
+A passage set into other sentences has few whole units.  So a unit in a shorter span is looked at with the words
+around it: where ``MIN_WORDS`` words in a row that hold it stand earlier too, they go, part sentences included.
+Such windows are compared over the corpus by hash, and only of units that have half the missing words on one
+side in common with another occurrence.
+
 The groups are aggregates with map-side combining, so a line that a third of all documents share is one row a
 task; the occurrences then meet their group in an equi-join, whose large partitions adaptive execution splits.
 """
@@ -13,6 +18,7 @@ task; the occurrences then meet their group in an equi-join, whose large partiti
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,9 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-#: Adjacent repeated units of fewer words in all are left alone.
+#: Repeated passages of fewer words are left alone.
 MIN_WORDS = 25
-UNIT = "doc_id bigint, version bigint, place int, start int, stop int, n_words int, digest bigint, check int"
+UNIT = "doc_id bigint, version bigint, place int, start int, stop int, n_words int, digest bigint, check int, before bigint, after bigint"
+WINDOW = "key bigint, doc_id bigint, version bigint, at int, asked boolean, lo int, hi int, start int, stop int"
+#: So many documents' plans are broadcast at most, to fetch the texts whose windows are compared.
+BROADCAST_PLANS = 20_000
 
 # A unit begins at a non-space and ends at a line's end, or after sentence marks before a space.
 _UNIT = re.compile(r"\S(?:[^\n.!?]|[.!?]++(?=\S))*+[.!?]*")
@@ -38,43 +47,138 @@ def units(text: str) -> list[tuple[int, int, int, bytes]]:
     return out
 
 
-def unit_table(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each unit of each document with an id.  ``version`` tells apart rows of one id with different texts."""
+def _signed(x: int, bits: int = 64) -> int:
+    return x - (1 << bits) if x >> bits - 1 else x
+
+
+def spaced(text: str) -> tuple[list[bytes], list[int], list[int]]:
+    """The normalised words of a text, and where each begins and ends."""
+    found = list(re.finditer(r"\S+", text))
+    return [m[0].lower().encode("utf-8", "replace") for m in found], [m.start() for m in found], [m.end() for m in found]
+
+
+def unit_table(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each unit of each document with an id.  ``version`` tells apart rows of one id with different texts.
+
+    ``before`` and ``after`` are hashes of a short unit with half the words that it lacks to ``min_words``, on one side.
+    """
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
 
     def run(batches):
         from xxhash import xxh32_intdigest, xxh64_intdigest
 
-        signed = lambda x, bits: x - (1 << bits) if x >> bits - 1 else x
         for batch in slices(batches):
-            columns: list[list] = [[] for _ in range(8)]
+            columns: list[list] = [[] for _ in range(10)]
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                version = signed(xxh64_intdigest(raw), 64)
-                for place, (start, stop, n, data) in enumerate(units(raw.decode("utf-8", "replace"))):
-                    for column, value in zip(columns, (doc_id, version, place, start, stop, n, signed(xxh64_intdigest(data), 64), signed(xxh32_intdigest(data), 32))):
+                version, text = _signed(xxh64_intdigest(raw)), raw.decode("utf-8", "replace")
+                tokens, starts, _ = spaced(text)
+                for place, (start, stop, n, data) in enumerate(units(text)):
+                    sides = [None, None]
+                    if n < min_words:
+                        half, a, z = (min_words - n + 1) // 2, bisect_right(starts, start) - 1, bisect_left(starts, stop)
+                        if a >= half:
+                            sides[0] = _signed(xxh64_intdigest(b" ".join(tokens[a - half : a]) + b"\n" + data, 2))
+                        if z + half <= len(tokens):
+                            sides[1] = _signed(xxh64_intdigest(data + b"\n" + b" ".join(tokens[z : z + half]), 3))
+                    for column, value in zip(columns, (doc_id, version, place, start, stop, n, _signed(xxh64_intdigest(data)), _signed(xxh32_intdigest(data), 32), *sides)):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "version", "place", "start", "stop", "n_words", "digest", "check"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "version", "place", "start", "stop", "n_words", "digest", "check", "before", "after"])
 
     return docs.mapInArrow(run, UNIT)
 
 
+def _windows(docs: DataFrame, plans: DataFrame, min_words: int) -> DataFrame:
+    """A row for each run of ``min_words`` words at a unit of its document's plan, or in the units beside: its hash, and what it would remove."""
+    joined = docs.join(F.broadcast(plans) if plans.count() <= BROADCAST_PLANS else plans, "doc_id").select("doc_id", "text", "version", "near", "taken")
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        names = [c.split()[0] for c in WINDOW.split(", ")]
+        schema = pa.schema([(n, pa.int64() if n in ("key", "doc_id", "version") else pa.bool_() if n == "asked" else pa.int32()) for n in names])
+        for batch in slices(batches, 32):
+            out = []
+            for row in batch.to_pylist():
+                if _signed(xxh64_intdigest(row["text"])) != row["version"]:
+                    continue
+                text = row["text"].decode("utf-8", "replace")
+                tokens, starts, stops = spaced(text)
+                every = units(text)
+                begins = [u[0] for u in every]
+                taken = [(bisect_right(starts, t["start"]) - 1, bisect_left(starts, t["end"])) for t in row["taken"] or ()]
+                asked: dict[int, bool] = {}
+                for u in row["near"]:
+                    a, z = bisect_right(starts, u["start"]) - 1, bisect_left(starts, u["stop"])
+                    # The units beside it may belong to the passage in part, as far as they go.
+                    k = bisect_left(begins, u["start"])
+                    low = bisect_right(starts, every[k - 1][0]) - 1 if k else a
+                    high = bisect_left(starts, every[k + 1][1]) if k + 1 < len(every) else z
+                    for at in range(max(0, min(low, z - min_words)), min(max(a, high - min_words), len(tokens) - min_words) + 1):
+                        asked[at] = asked.get(at, False) or u["asked"]
+                for at, own in asked.items():
+                    # What a longer span of whole units removes already is not removed twice.
+                    lo = max([at, *[t for s, t in taken if s <= at < t]])
+                    hi = min([at + min_words, *[s for s, t in taken if s < at + min_words <= t]])
+                    own = own and lo < hi
+                    key = _signed(xxh64_intdigest(b" ".join(tokens[at : at + min_words]), 4))
+                    out.append(dict(zip(names, (key, row["doc_id"], row["version"], at, own, lo, hi, starts[lo] if own else 0, stops[hi - 1] if own else 0))))
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return joined.mapInArrow(run, WINDOW)
+
+
+def _set_in(df: DataFrame, found: DataFrame, short: DataFrame, long: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of passages around repeated units of ``short`` spans, where the words around them are repeated too."""
+    wanted = written(short.select("digest", "check").distinct(), "short-digests")
+    place = ["doc_id", "version", "place"]
+    near = written(found.join(wanted, ["digest", "check"], "left_semi").select(*place, "start", "stop", "before", "after"), "short-units")
+    sides = near.select(F.explode(F.array("before", "after")).alias("side")).where("side is not null")
+    common = written(sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side"), "common-sides")
+    left = near.where("before is not null").join(common.withColumnRenamed("side", "before"), "before", "left_semi")
+    right = near.where("after is not null").join(common.withColumnRenamed("side", "after"), "after", "left_semi")
+    kept = left.select(*place, "start", "stop").unionByName(right.select(*place, "start", "stop")).distinct()
+    marked = kept.join(short.select(*place, F.lit(True).alias("asked")), place, "left").select("doc_id", "version", "start", "stop", F.coalesce("asked", F.lit(False)).alias("asked"))
+    plans = marked.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "stop", "asked")).alias("near"))
+    taken = long.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
+    plans = written(plans.join(taken, ["doc_id", "version"], "left"), "window-plans")
+    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
+    windows = written(_windows(docs, plans, min_words), "windows")
+    rank = F.struct("doc_id", "version", "at")
+    firsts = written(windows.groupBy("key").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("key", "first"), "window-groups")
+    # A window doesn't go for one that it overlaps, of which a part would go with it.
+    apart = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("version") != F.col("first.version")) | (F.col("at") >= F.col("first.at") + min_words)
+    hits = windows.where("asked").join(firsts, "key").where(apart).groupBy("doc_id", "version", "at").agg(*[F.first(c).alias(c) for c in ("lo", "hi", "start", "stop")], F.min("first.doc_id").alias("first_doc_id"))
+    order = Window.partitionBy("doc_id", "version").orderBy("at")
+    fresh = F.when(F.col("lo") <= F.lag("hi").over(order), 0).otherwise(1)
+    islands = hits.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
+    spans = islands.groupBy("doc_id", "version", "island").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("end"), (F.max("hi") - F.min("lo")).cast("bigint").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
+    inner = short.select("doc_id", "version", F.col("start").alias("unit_start"), F.col("stop").alias("unit_stop"))
+    held = spans.join(inner, ["doc_id", "version"]).where("unit_start >= start and unit_stop <= end")
+    return held.groupBy("doc_id", "version", "start", "end", "n_words", "first_doc_id").agg(F.count(F.lit(1)).alias("n_units"))
+
+
 def repeated_spans(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, version, start, end, n_words, n_units, first_doc_id of every passage that stands earlier in the corpus.
 
-    Offsets are code points, ends exclusive; ``first_doc_id`` is the lowest document that has one of the passage's
-    units.  Rows are ranked by id, then by version (a hash of the text, for rows that share an id), then by place;
+    A passage is ``min_words`` words or more of adjacent repeated units, or else of words in a row that hold a
+    repeated unit; ``n_units`` are its whole repeated units.  Offsets are code points, ends exclusive;
+    ``first_doc_id`` is the lowest document that has one of the passage's units, or of its runs of ``min_words`` words.  Rows are ranked by id, then by version (a hash of the text, for rows that share an id), then by place;
     rows alike in id and text are one document.  Rows without an id and null or empty texts have no units.
     """
-    every = unit_table(df, id_col=id_col, text_col=text_col)
+    every = unit_table(df, min_words=min_words, id_col=id_col, text_col=text_col)
     found = written(every.distinct() if _ids_repeat(df, id_col) else every, "units")
     rank = F.struct("doc_id", "version", "place")
     # Written, so that the join deals both of its sides anew and the rows of a very common unit can be split among tasks.
     groups = written(found.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("digest", "check", "first"), "unit-groups")
-    later = found.join(groups, ["digest", "check"]).where(rank != F.col("first")).select("doc_id", "version", "place", "start", "stop", "n_words", F.col("first.doc_id").alias("first_doc_id"))
+    later = found.join(groups, ["digest", "check"]).where(rank != F.col("first")).select("doc_id", "version", "place", "start", "stop", "n_words", "digest", "check", F.col("first.doc_id").alias("first_doc_id"))
     island = F.col("place") - F.row_number().over(Window.partitionBy("doc_id", "version").orderBy("place"))
-    runs = later.withColumn("island", island).groupBy("doc_id", "version", "island").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("end"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.min("first_doc_id").alias("first_doc_id"))
-    return runs.where(F.col("n_words") >= min_words).drop("island")
+    words_in_all = F.sum("n_words").over(Window.partitionBy("doc_id", "version", "island"))
+    placed = written(later.withColumn("island", island).withColumn("in_all", words_in_all), "repeated-units")
+    runs = placed.where(F.col("in_all") >= min_words).groupBy("doc_id", "version", "island").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("end"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.min("first_doc_id").alias("first_doc_id"))
+    long = runs.drop("island")
+    short = placed.where(F.col("in_all") < min_words)
+    return long.unionByName(_set_in(df, found, short, long, min_words, id_col, text_col).select(long.columns))
 
 
 def _ids_repeat(df: DataFrame, id_col: str) -> bool:
