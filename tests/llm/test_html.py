@@ -55,3 +55,14 @@ def test_hard_rows(spark, docs):
     df = spark.createDataFrame([(None, None, None, "t"), (1, "u", None, "t"), (1, "u", "", "t"), (1, "u", "<p>x", "t")], "page_id bigint, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("", 0), ("", 0), ("", 0), ("x", 1)]
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_short_sections_and_articles_beside_long_ones_stay():
+    say = lambda name, n: [f"{name} {k} is a paragraph of words, as long as paragraphs are." for k in range(n)]
+    marked = lambda blocks: "".join(f"<p>{b}</p>" for b in blocks)
+    menu = '<div class="menu"><a href=x>one</a><a href=y>two</a></div>'
+    for many in (20, 200):
+        long, short = say("Long", many), say("Short", 2)
+        for tag in ("div", "section", "article"):
+            page = f"<body>{menu}<div id=content><{tag}>{marked(long)}</{tag}><{tag}>{marked(short)}</{tag}></div></body>"
+            assert html_text.main_text(page) == "\n\n".join(long + short)

@@ -4,8 +4,8 @@ The parser's events become *lines*: a line ends wherever a block element opens o
 have no newlines.  Each line has the length of its text, the share of it inside links, and the tags seen since
 the line before; its ratio is text outside links per tag.  Ratios are smoothed with a Gaussian over neighbouring
 lines and cut at a threshold from their spread; the lines above it form clusters.  A cluster says *where* the
-content is, not which of its lines are long enough: the region is the block containers that hold the clusters,
-so a one-word paragraph beside long ones stays.  Subtrees that the markup names as something else (menus,
+content is, not which of its lines are long enough: the region is the page's articles if any
+holds a cluster, or else the innermost container around all clusters, so a short section beside long ones stays.  Subtrees that the markup names as something else (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) take no part at all.
 """
 
@@ -23,8 +23,6 @@ from .common import slices
 
 #: Width of the smoothing in lines, and the threshold in standard deviations of the smoothed ratios.
 SIGMA, THRESHOLD = 1.0, 0.5
-#: A container belongs to the content if it holds this share of the selected text of the fullest one.
-SHARE = 0.15
 
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul button iframe object svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -195,35 +193,32 @@ def main_text(html: str | None) -> str:
     mean = sum(smooth) / len(smooth)
     cut = min(mean, THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
     parents, kinds = parser.parents, parser.kinds
-    held: dict[int, int] = {}
-    for (_, line), ratio in zip(lines, smooth):
-        if ratio >= cut:
-            held[line[4]] = held.get(line[4], 0) + line[1] - line[2]
-    articles = {c for c in held if _inside(c, parents, kinds) is not None}
-    if articles:
-        held = {c: n for c, n in held.items() if c in articles}
-        region = {_inside(c, parents, kinds) for c in held}
-        sizes = {r: sum(n for c, n in held.items() if _inside(c, parents, kinds) == r) for r in region}
-        region = {r for r in region if sizes[r] >= SHARE * max(sizes.values())}
-        wide = True
-    else:
-        most = max(held.values())
-        region, wide = {c for c, n in held.items() if n >= SHARE * most}, False
+    held = {line[4] for (_, line), ratio in zip(lines, smooth) if ratio >= cut}
+    articles = {_inside(c, parents, kinds) for c in held} - {None}
+    region = {_inside(line[4], parents, kinds) for _, line in lines} - {None} if articles else {_around(held, parents)}
     kept = []
     for text, line in lines:
         c = line[4]
-        if wide:
-            while c >= 0 and c not in region:
-                c = parents[c]
-        else:
-            # Nested containers go with the one that holds the content, but the whole body is no such container.
-            while c > 0 and c not in region and kinds[parents[c]] not in ("body", ""):
-                c = parents[c]
+        while c >= 0 and c not in region:
+            c = parents[c]
         if c in region:
             kept.append(text)
     return "\n\n".join(kept)
 
 
+def _around(held: set[int], parents: list[int]) -> int:
+    """The innermost container around all of ``held``."""
+    c, *others = sorted(held)
+    for other in others:
+        # A container's number is above that of the one around it.
+        while c != other:
+            if c > other:
+                c = parents[c]
+            else:
+                other = parents[other]
+    return c
+
+
 def _inside(c: int, parents: list[int], kinds: list[str]) -> int | None:
     """The outermost article or main around container ``c``."""
     found = None
