@@ -1,6 +1,8 @@
 import random
 
-from wardline.llm import near_copies
+import numpy as np
+
+from wardline.llm import near_copies, simhash
 from wardline.llm.common import written
 
 
@@ -18,3 +20,18 @@ def test_a_repeated_line_does_not_part_near_copies(spark):
         line = [f"w{r.randrange(10**6)}" for _ in range(8)]
         texts += [" ".join(base), " ".join(base + line * (10 + k))]
     assert linked(spark, texts, "repeated-lines") == {k: k - k % 2 for k in range(len(texts))}
+
+
+def test_pairs_that_share_one_anchor_are_found_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BUCKET_DOCS", 1)
+    r = random.Random(8)
+    texts = []
+    while len(texts) < 8:
+        whole = [f"w{r.randrange(10**9)}" for _ in range(64)]
+        part = whole[:52]
+        a, b = (np.unique(simhash.shingle_hashes([w.encode() for w in x], 5)) for x in (whole, part))
+        prints = np.uint64(simhash.fingerprint(a)) ^ np.uint64(simhash.fingerprint(b))
+        if len(np.intersect1d(a[:6], b[:6])) == 1 and np.bitwise_count(prints) <= near_copies.error_budget(0.8):
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(a)
+            texts += [" ".join(whole), " ".join(part)]
+    assert linked(spark, texts, "one-anchor") == {k: k - k % 2 for k in range(len(texts))}
