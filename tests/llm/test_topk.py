@@ -9,13 +9,12 @@ from wardline.llm import queries, topk_search
 
 
 def plain(rows, k=20):
-    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    out = []
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    scores = {}
     for i, q in good:
         if i % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i and len(v) == len(q))
-            out += [(i, n, j, -s) for n, (s, j) in enumerate(scores[:k], 1)]
-    return sorted(out)
+            scores.setdefault(i, []).extend((-min((1 << 63) - 1, max(2 - (1 << 63), sum(a * b for a, b in zip(q, v)))), j) for j, v in good if j != i and len(v) == len(q))
+    return sorted((i, n, j, -s) for i, own in scores.items() for n, (s, j) in enumerate(sorted(own)[:k], 1))
 
 
 def search(spark, rows):
@@ -46,6 +45,23 @@ def test_large_components_stay_exact(spark):
     assert search(spark, rows) == plain(rows)
 
 
+def test_components_of_any_size_take_part(spark):
+    rows = list(enumerate(vectors(60, 5, 4)))
+    big = [2.0**20, -(2.0**30), 2.0**47, 2.0**64, -(2.0**100), 3.0e38]
+    rows += [(100 + 10 * k, [x, 1.0, -0.5, 0.25, 2.0]) for k, x in enumerate(big)] + [(200, []), (201, []), (220, [0.0] * 5)]
+    assert search(spark, rows) == plain(rows)
+    assert {r[2] for r in search(spark, rows)} >= {100, 110, 120, 130, 140, 150, 200, 201}
+
+
+def test_repeated_rows_and_ids(spark, monkeypatch):
+    rows = list(enumerate(vectors(50, 6, 9)))
+    rows += [(20, v) for v in vectors(3, 6, 10)] + [rows[0], rows[0], rows[7], rows[7]]
+    assert search(spark, rows) == plain(rows)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk_search, "PLAN_BLOCKS", 2)
+    assert search(spark, rows) == plain(rows)
+
+
 def test_query_blocks_and_candidate_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 4)
     rows = list(enumerate(vectors(200, 32, 8)))
@@ -64,7 +80,7 @@ def test_bounds_prune(monkeypatch):
     columns[:, :50] *= 6
     q = columns[:, :8].T.copy()
     best = topk_search.Best(8, 5)
-    lengths = np.stack([np.sqrt((q[:, c:] ** 2).sum(1)) for c in (16, 32, 48, 64)], axis=1).astype(np.float32) * np.float32(1 + 1e-5)
+    lengths = topk_search._left(q.T).T
     for at in range(0, 4000, 500):
         topk_search.scan_block(q, np.arange(8), lengths, columns[:, at : at + 500], np.arange(at, at + 500), best)
     scores = q @ columns
