@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,9 +17,14 @@ SLICE_ROWS = 256
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on one machine, where it is unset, one of our own.
+
+    A cluster without that setting has no folder that all can read, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"wardline-checkpoints-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -53,7 +60,15 @@ def filesystem(uri: str):
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows, so that Python holds few texts at a time."""
+    """The batches cut to at most ``rows`` rows, so that Python holds few texts at a time; after the last, memory goes back."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and what one task freed is no use to the next one's neighbours."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
