@@ -54,6 +54,19 @@ def test_items_in_blocks_give_the_same(docs, rows, items, monkeypatch):
     assert got(positional.decontaminate(docs, items)) == plain(rows, [(r["item_id"], r["text"]) for r in items.collect()])
 
 
+@pytest.mark.parametrize("segment", [1, 1 << 24])
+def test_repeated_rows_and_null_ids_stay_with_items_in_blocks(spark, monkeypatch, segment):
+    monkeypatch.setattr(positional, "BLOCK_BYTES", 30)
+    monkeypatch.setattr(positional, "SEGMENT_BYTES", segment)
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
+    one, other = say(30), say(30)
+    docs = [(1, one), (1, one), (1, one), (None, one), (None, other), (None, "a b c"), (None, "d e f"), (2, None), (2, ""), (None, None)]
+    items = [(k, say(3)) for k in range(20)] + [(99, one[10:40]), (None, other)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    assert got(positional.decontaminate(df, spark.createDataFrame(items, "item_id bigint, text string"))) == plain(docs, items)
+
+
 def test_empty_tables(docs, rows, items):
     assert positional.decontaminate(docs.limit(0), items).collect() == []
     assert got(positional.decontaminate(docs, items.limit(0))) == plain(rows, [])

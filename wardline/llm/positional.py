@@ -12,23 +12,26 @@ Positions of a segment's documents follow one another with a gap between documen
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import filesystem, scratch, slices, trim, written
 
 #: A segment is closed at the document that brings it to so many bytes of text.
 SEGMENT_BYTES = 8 << 20
-#: Query texts are searched in blocks of so many bytes; each block is one pass over the index.
+#: Query texts are searched in blocks of so many bytes.
 BLOCK_BYTES = 2 << 20
 #: Positions between two documents; a window may be as wide.
 GAP = 64
+#: Segments that a task holds open while it goes through several blocks of query texts.
+GROUP = 4
 SEGMENT = "doc_ids array<bigint>, n_words array<int>, terms binary, counts binary, postings binary"
 
 # Fixed: words are runs of [0-9A-Za-z] and of all bytes of characters beyond ASCII; A-Z become a-z.
@@ -255,10 +258,8 @@ class Windows:
         self.sizes, self.owners, self.terms = [len(w) for w in windows], owners, list(known)
 
 
-def _matches(own: Segment, queries: Windows) -> tuple[dict, dict]:
-    """({document: [(start, end)] in words}, {document: items}) of the windows' occurrences in a segment."""
-    ranges: dict[int, list] = {}
-    items: dict[int, set] = {}
+def _matches(own: Segment, queries: Windows, ranges: dict[int, list], items: dict[int, set]) -> None:
+    """Add the windows' occurrences in a segment to ``ranges`` ({document: [(start, end)] in words}) and ``items`` ({document: items})."""
     # The last entry is for the places of a short window that hold no term.
     counts = np.array([*map(own.count, queries.terms), np.iinfo(np.int64).max])[queries.rows]
     alive = np.flatnonzero(counts.min(1, initial=np.iinfo(np.int64).max) > 0)
@@ -274,7 +275,6 @@ def _matches(own: Segment, queries: Windows) -> tuple[dict, dict]:
             at = p - int(own.starts[d])
             ranges.setdefault(d, []).append((at, at + size))
             items.setdefault(d, set()).update(queries.owners[q])
-    return ranges, items
 
 
 def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -291,50 +291,68 @@ def contamination(index: DataFrame, items: DataFrame, *, window: int = 10, item_
     """One row per indexed document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, hit_ranges.
 
     A window is ``window`` consecutive words of an item, or the whole of a shorter item with words.  A document's
-    word inside an occurrence of a window is hit; ``hit_ranges`` has the hit ranges of words.  Items are searched
-    in blocks of BLOCK_BYTES: one block (or none) answers in one pass over the index, without a shuffle; of more,
-    the passes' ranges and items are merged per document.  A null item id counts as the string "null".
+    word inside an occurrence of a window is hit; ``hit_ranges`` has the hit ranges of words.  Items are cut into
+    blocks of BLOCK_BYTES, each a file in the shared folder; a task searches its segments for one block after the
+    other, so every document gets its one row from one task whatever the items' size, without a shuffle or a
+    broadcast.  A null item id counts as the string "null".
     """
-    passes = list(_passes(index, items, window, item_col, text_col))
-    if len(passes) == 1:
-        return passes[0].select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.expr("n_hit > 0").alias("contaminated"), "hit_ranges")
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
-    one = every.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_ranges")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return one.mapInArrow(_joined, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_ranges array<int>")
-
-
-def _joined(batches):
-    for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            ranges = _merged(list(zip(row["r"][::2], row["r"][1::2])))
-            n = sum(b - a for a, b in ranges)
-            rows.append({"doc_id": row["doc_id"], "n_words": row["n_words"], "n_hit": n, "n_items": len(row["items"]), "items_sha256": hashlib.sha256(",".join(row["items"]).encode()).hexdigest(), "contaminated": n > 0, "hit_ranges": [x for r in ranges for x in r]})
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("hit_ranges", pa.list_(pa.int32()))]))
-
-
-def _passes(index: DataFrame, items: DataFrame, window: int, item_col: str, text_col: str) -> Iterator[DataFrame]:
     if window > GAP:
         raise ValueError(f"a window of {window} words; the index separates documents by {GAP}")
-    for block in blocks_of(items, item_col, text_col):
-        queries = index.sparkSession.sparkContext.broadcast(Windows(*windows_of([(i if i is not None else "null", t) for i, t in block], window)))
-        yield index.mapInArrow(lambda batches, queries=queries: _hits(batches, queries.value), "segment string, ordinal int, doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, hit_ranges array<int>, items array<string>")
+    blocks = list(_block_files(index.sparkSession, items, window, item_col, text_col))
+
+    def run(batches):
+        rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
+        while group := list(islice(rows, 1 if len(blocks) == 1 else GROUP)):
+            opened = [(Segment(row), {}, {}) for row in group]
+            del group
+            for path in blocks:
+                queries = _block(path)
+                for own, ranges, found in opened:
+                    _matches(own, queries, ranges, found)
+            while opened:
+                yield _verdicts(*opened.pop(0))
+        trim()
+
+    return index.mapInArrow(run, VERDICT)
+
+
+VERDICT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, hit_ranges array<int>"
 
 
-def _hits(batches, queries: Windows):
-    schema = pa.schema([("segment", pa.string()), ("ordinal", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("hit_ranges", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+def _verdicts(own: Segment, ranges: dict[int, list], items: dict[int, set]) -> pa.RecordBatch:
     nothing = hashlib.sha256(b"").hexdigest()
-    for batch in batches:
-        for row in batch.to_pylist():
-            own = Segment(row)
-            name = hashlib.sha256(row["postings"] + repr(row["doc_ids"][:50]).encode()).hexdigest()[:32]
-            ranges, items = _matches(own, queries)
-            hit = {d: _merged(r) for d, r in ranges.items()}
-            ids = {d: sorted(i) for d, i in items.items()}
-            n = len(own.doc_ids)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array(own.doc_ids, pa.int64()), pa.array(own.n_words, pa.int64()), pa.array([sum(b - a for a, b in hit.get(d, ())) for d in range(n)], pa.int64()), pa.array([len(ids.get(d, ())) for d in range(n)], pa.int64()), pa.array([hashlib.sha256(",".join(ids[d]).encode()).hexdigest() if d in ids else nothing for d in range(n)], pa.string()), pa.array([[x for r in hit.get(d, ()) for x in r] for d in range(n)], schema.field("hit_ranges").type), pa.array([ids.get(d, []) for d in range(n)], schema.field("items").type)], schema=schema)
+    hit = {d: _merged(r) for d, r in ranges.items()}
+    digests = {d: hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for d, i in items.items()}
+    every = range(len(own.doc_ids))
+    counts = [sum(b - a for a, b in hit.get(d, ())) for d in every]
+    columns = {"doc_id": pa.array(own.doc_ids, pa.int64()), "n_words": pa.array(own.n_words, pa.int64()), "n_hit": pa.array(counts, pa.int64()), "n_items": pa.array([len(items.get(d, ())) for d in every], pa.int64())}
+    columns |= {"items_sha256": pa.array([digests.get(d, nothing) for d in every], pa.string()), "contaminated": pa.array([n > 0 for n in counts], pa.bool_()), "hit_ranges": pa.array([[x for r in hit.get(d, ()) for x in r] for d in every], pa.list_(pa.int32()))}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _block_files(spark, items: DataFrame, window: int, item_col: str, text_col: str) -> Iterator[str]:
+    """The windows of the items, a file for each block, named in order; the driver holds one block at a time."""
+    folder = scratch(spark, "query-blocks")
+    for n, block in enumerate(blocks_of(items, item_col, text_col)):
+        fs, at = filesystem(folder)
+        fs.create_dir(at, recursive=True)
+        with fs.open_output_stream(f"{at}/{n:06d}") as out:
+            out.write(pickle.dumps(Windows(*windows_of([("null" if i is None else i, t) for i, t in block], window))))
+        yield f"{folder}/{n:06d}"
+
+
+#: The block that this worker read last.
+_LAST: dict[str, Windows] = {}
+
+
+def _block(path: str) -> Windows:
+    if path not in _LAST:
+        fs, at = filesystem(path)
+        with fs.open_input_stream(at) as f:
+            data = f.read()
+        _LAST.clear()
+        _LAST[path] = pickle.loads(data)
+    return _LAST[path]
 
 
 def decontaminate(df: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
