@@ -12,9 +12,10 @@ from wardline.llm.common import scratch
 VOCABULARY = P.path("byte_bpe_50k.json")
 
 
-def expected(rows):
+def expected(rows, ordinary=False):
     library = Tokenizer.from_file(VOCABULARY)
-    library.encode_special_tokens = True
+    if ordinary:
+        library.encode_special_tokens = True
     out, start = [], 0
     encoded = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for i, t in rows]
     for i, ids in sorted(encoded, key=lambda x: (x[0] is not None, x[0] or 0)):
@@ -32,6 +33,48 @@ def test_round_trip(docs, rows):
     assert [g[1] for g in got] == [0, *ends[:-1]]
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y", " <|endoftext|>\n\n <|endoftext|>  z", "<|endoftext|><|endoftext|>", "<|endoftext |>", "no <|endof text|>"]
+
+
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_special_tokens_are_as_the_library_has_them(spark, ordinary):
+    rows = [(i, f"before {t} after") for i, t in enumerate(SPECIAL)] + [(i + 100, t) for i, t in enumerate(SPECIAL)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    manifest = token_files.write_token_files(df, VOCABULARY, scratch(spark, "t"), ordinary=ordinary)
+    got = sorted(tuple(r)[:4] for r in token_files.read_token_files(spark, manifest).collect())
+    assert got == expected(rows, ordinary) and expected(rows) != expected(rows, True)
+    assert token_files.Tokenizer(token_files.read_definition(VOCABULARY)).encode(["a <|endoftext|> b"])[0] == np.array([64, 220, 50256, 275], "<u4").tobytes()
+
+
+def test_definitions_that_split_otherwise_get_whole_texts():
+    import json
+
+    from tokenizers.pre_tokenizers import Split, Sequence, ByteLevel
+
+    texts = ["a.\n\n b  c", "Word, word!\n", "", "  x <|endoftext|>y"]
+    for change in ("prefix", "normalizer", "split"):
+        library = Tokenizer.from_file(VOCABULARY)
+        if change == "prefix":
+            library.pre_tokenizer = ByteLevel(add_prefix_space=True)
+        elif change == "normalizer":
+            spec = json.loads(library.to_str()) | {"normalizer": {"type": "Lowercase"}}
+            library = Tokenizer.from_str(json.dumps(spec))
+        else:
+            library.pre_tokenizer = Sequence([Split(".\n", "merged_with_previous"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        own = token_files.Tokenizer(library.to_str())
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_an_id_of_very_many_rows_is_dealt_to_several_files(spark):
+    rows = [(None, f"null {i}") for i in range(300)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"own {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    manifest = token_files.write_token_files(df, VOCABULARY, scratch(spark, "t"))
+    assert manifest.agg({"n_docs": "max"}).first()[0] < 250
+    got = [(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in sorted(token_files.read_token_files(spark, manifest).collect(), key=lambda r: r["start"])]
+    assert [g[0] for g in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert sorted(map(repr, got)) == sorted(repr((w[0], *w[2:])) for w in expected(rows))
+
+
 def test_the_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(tuple(r) for r in queries.op4_token_files(spark, sf).collect())

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, written
+from .common import filesystem, scratch, trim, written
 from .huffman import Reader, Writer, code_lengths
 from .units import Memo, literal, unit_keys
 
@@ -45,25 +45,32 @@ _PLAIN = re.compile("(\\n?)((?<!\\n) ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u
 class Tokenizer:
     """The tokenizers library over text units, each distinct unit encoded once.
 
-    Under the usual byte-level split a plain unit's pieces are known, so its word goes to the library as one piece,
-    past its splitter, and is shared with the units that differ by a mark; all other units go to it whole.
+    Only the usual byte-level split, without normalisation or truncation, treats a unit as it does the unit's text;
+    under any other definition, and where a text has one of the tokens that the definition finds before it splits,
+    the library gets the whole text.  Under that split a plain unit's pieces are known, so its word goes to the library
+    as one piece, past its splitter, and is shared with the units that differ by a mark; all other units go to it whole.
+    With ``ordinary`` the strings of special tokens are ordinary text; else they are those tokens, as the library has it.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
         from tokenizers.pre_tokenizers import ByteLevel
 
         self._library = Library.from_str(definition)
-        self._library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._library.encode_special_tokens = ordinary
         self.width = self._library.get_vocab_size()
         self._memo = Memo(UNIT_MEMO)
         self._words = None
         spec = json.loads(definition)
         split = spec.get("pre_tokenizer") or {}
-        if split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer"):
+        odd = any(spec.get(k) for k in ("normalizer", "truncation", "padding")) or (spec.get("model") or {}).get("dropout")
+        self._units = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not odd
+        own = [t["content"] for t in spec.get("added_tokens") or () if not (ordinary and t.get("special"))]
+        self._added = re.compile("|".join(map(re.escape, own))).search if own else None
+        if self._units:
             self._words = Library.from_str(definition)
-            self._words.encode_special_tokens = True
+            self._words.encode_special_tokens = ordinary
             self._words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
             self._marks = {m: self._ids(self._library, [m])[0] for m in ("\n", *".,;:!?")} | {"": b""}
 
@@ -76,7 +83,7 @@ class Tokenizer:
         memo, plain, whole, words = self._memo, {}, [], {}
         for key in keys:
             text = literal(key)
-            if self._words is not None and (m := _PLAIN.fullmatch(text)):
+            if (m := _PLAIN.fullmatch(text)):
                 word = m[2]
                 plain[key] = m[1], (own := word[1:] if word[0] == " " else " " + word), m[3]
                 if own not in words and own not in memo:
@@ -94,6 +101,14 @@ class Tokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        whole = [i for i, t in enumerate(texts) if not self._units or self._added is not None and self._added(t)]
+        if whole:
+            apart = dict(zip(whole, self._ids(self._library, [texts[i] for i in whole])))
+            rest = iter(self._by_units([t for i, t in enumerate(texts) if i not in apart]))
+            return [apart[i] if i in apart else next(rest) for i in range(len(texts))]
+        return self._by_units(texts)
+
+    def _by_units(self, texts: list[str]) -> list[bytes]:
         keys = [unit_keys(t) for t in texts]
         found = [list(map(self._memo.get, own)) for own in keys]
         gaps = [[i for i, ids in enumerate(out) if ids is None] for out in found]
@@ -105,14 +120,14 @@ class Tokenizer:
         return [b"".join(out) for out in found]
 
 
-_TOKENIZERS: dict[bytes, Tokenizer] = {}
+_TOKENIZERS: dict[tuple[bytes, bool], Tokenizer] = {}
 
 
-def _tokenizer(definition: str) -> Tokenizer:
-    key = hashlib.sha256(definition.encode()).digest()
+def _tokenizer(definition: str, ordinary: bool = False) -> Tokenizer:
+    key = hashlib.sha256(definition.encode()).digest(), ordinary
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = Tokenizer(definition)
+        _TOKENIZERS[key] = Tokenizer(definition, ordinary)
     return _TOKENIZERS[key]
 
 
@@ -137,41 +152,54 @@ def _batched(rows, size: int, volume: int = 1 << 21):
         yield batch
 
 
-def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False) -> DataFrame:
     """Tokenise whole texts, append ``end_id`` to each and write the ids under ``folder`` in ascending ``id_col`` order.
 
     Returns the manifest (part, seq, path, bytes, n_docs, n_tokens), ordered by (part, seq): rows of equal
-    ids keep together in an order given by their ids, a null id comes first, a null or empty text gives the end
-    id alone, and an empty table gives an empty manifest.  Columns other than the two are not read.
+    ids keep together in an order of their own, a null id comes first, a null or empty text gives the end
+    id alone, and an empty table gives an empty manifest.  Columns other than the two are not read.  A string of a
+    special token is that token, as in the library; with ``ordinary`` it is ordinary text.  An id, or no id, that very
+    many rows have takes as many ranges as its share of the rows.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     source = docs.rdd
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * source.getNumPartitions())
+    total, without = docs.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
+    first = -(-without * parts // max(1, total))
     cuts = docs.approxQuantile("id", [i / parts for i in range(1, parts)], 0.25 / parts)
-    bounds = np.unique(np.asarray(cuts or [], np.float64)).astype(np.int64)
+    # A cut that repeats is an id of several ranges' rows.
+    bounds = np.sort(np.asarray(cuts or [], np.float64)).astype(np.int64)
     definition = spark.sparkContext.broadcast(read_definition(tokenizer))
 
     def tokenised(rows):
         import zstandard
 
-        tok, pack = _tokenizer(definition.value), zstandard.ZstdCompressor(level=1).compress
+        tok, pack = _tokenizer(definition.value, ordinary), zstandard.ZstdCompressor(level=1).compress
+        n = 0
         for batch in _batched(rows, 256):
             for row, ids in zip(batch, tok.encode([t or "" for _, t in batch])):
                 narrow = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                yield row[0], pack(narrow.astype("<u2" if tok.width <= 1 << 16 else "<u4").tobytes())
+                n += 1
+                yield (row[0], n), pack(narrow.astype("<u2" if tok.width <= 1 << 16 else "<u4").tobytes())
+        trim()
 
-    wide = spark.sparkContext.broadcast(_tokenizer(definition.value).width)
+    wide = spark.sparkContext.broadcast(_tokenizer(definition.value, ordinary).width)
 
     def ids_of(data: bytes) -> np.ndarray:
         import zstandard
 
         return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u2" if wide.value <= 1 << 16 else "<u4").astype(np.uint32)
 
-    def deal(doc_id) -> int:
-        return 0 if doc_id is None else int(np.searchsorted(bounds, doc_id, "right"))
+    def deal(key) -> int:
+        """The range of a row (id, place in its task): rows of an id that fills several ranges take turns in them."""
+        doc_id, n = key
+        if doc_id is None:
+            return n % first
+        low, high = (int(np.searchsorted(bounds, doc_id, side)) for side in ("left", "right"))
+        return first + (high if high - low < 2 else low + n % (high - low + 1))
 
-    dealt = source.mapPartitions(tokenised).partitionBy(parts, deal)
+    dealt = source.mapPartitions(tokenised).partitionBy(first + len(bounds) + 1, deal)
 
     def counted(rows):
         total = np.zeros(wide.value, np.int64)
@@ -185,7 +213,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
     def write(part, rows):
         fs, at = filesystem(folder)
         fs.create_dir(at, recursive=True)
-        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        rows = sorted(rows, key=lambda r: (r[0][0] is not None, r[0][0] or 0, r[1]))
         k = seq = 0
         while k < len(rows):
             name = f"{folder}/part-{part:06d}-{seq:03d}-{uuid.uuid4().hex[:8]}.ids"
@@ -193,7 +221,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
                 writer = Writer(out, lengths.value)
                 first = k
                 while k < len(rows) and writer.tokens < FILE_TOKENS:
-                    writer.add(rows[k][0], ids_of(rows[k][1]))
+                    writer.add(rows[k][0][0], ids_of(rows[k][1]))
                     k += 1
                 size = writer.close()
             yield part, seq, name, size, k - first, writer.tokens
