@@ -47,6 +47,38 @@ def test_odd_pages():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+ARTICLE = "".join(f"<p>Paragraph {k} of an article that is long enough to be one.</p>" for k in range(12))
+TEXT = "\n\n".join(f"Paragraph {k} of an article that is long enough to be one." for k in range(12))
+
+
+def test_class_words_inside_other_names_drop_nothing():
+    for name in ("layout has-sidebar", "no-ads", "with-comments", "share-buttons-off", "notice-board", "widget-free", "hasComments", "page no-banner", "adventure", "menuless"):
+        for page in (f'<body><div class="{name}">{ARTICLE}</div></body>', f'<body><div id="{name}"><article>{ARTICLE}</article></div></body>', f'<article><div class="{name}">{ARTICLE}</div></article>'):
+            assert html_text.main_text(page) == TEXT, (name, page[:60])
+
+
+def test_whole_names_of_other_things_go():
+    for name in ("ad", "site-footer", "commentList", "comments-area", "cookie-banner", "sidebar left", "sidebar-2", "nav-main", "relatedPosts", "x share-buttons", "ad-slot"):
+        for page in (f'<body><div>{ARTICLE}</div><div class="{name}"><p>This is another thing than the article is.</p></div></body>', f'<article>{ARTICLE}<div id="{name}"><p>This is another thing than the article is.</p></div></article>'):
+            assert html_text.main_text(page) == TEXT, (name, page[:60])
+
+
+def test_a_named_container_that_is_the_content_stays():
+    menu = '<div class="menu"><a href=x>one</a></div>'
+    assert html_text.main_text(f'<body>{menu}<div class="widget"><article>{ARTICLE}</article><div class="ad">Buy</div></div><p>Beside.</p></body>') == TEXT
+    assert html_text.main_text(f'<body>{menu}<div class="widget">{ARTICLE}</div></body>') == TEXT
+    comments = f'<div class="comments"><article>{ARTICLE}</article></div>'
+    assert html_text.main_text(f"<body>{menu}<div><p>Only this.</p></div>{comments}</body>") == "Only this."
+    assert html_text.main_text(f"<body>{menu}{comments}</body>") == ""
+
+
+def test_an_open_tag_of_any_length_goes():
+    for size in (10, 5000, 200_000):
+        assert html_text.main_text(f'<article>{ARTICLE}<p>End <a title="{"x " * size}') == TEXT + "\n\nEnd"
+        assert html_text.main_text(f'<article>{ARTICLE}<p>End <a title="{"x < y " * size}') == TEXT + "\n\nEnd"
+    assert html_text.main_text(f"<article>{ARTICLE}<p>5 < 6") == TEXT + "\n\n5 < 6"
+
+
 def test_smoothing_keeps_the_mean_of_a_constant():
     assert all(abs(x - 3) < 1e-12 for x in html_text.smoothed([3.0] * 9))
 

@@ -5,8 +5,11 @@ have no newlines.  Each line has the length of its text, the share of it inside
 the line before; its ratio is text outside links per tag.  Ratios are smoothed with a Gaussian over neighbouring
 lines and cut at a threshold from their spread; the lines above it form clusters.  A cluster says *where* the
 content is, not which of its lines are long enough: the region is the page's articles if any
-holds a cluster, or else the innermost container around all clusters, so a short section beside long ones stays.  Subtrees that the markup names as something else (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) take no part at all.
+holds a cluster, or else the innermost container around all clusters, so a short section beside long ones stays.
+Subtrees that the markup names as something else (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, comments) take no part at all.  An element says so by its kind or role; a class or id only by a whole name, such
+as "ad", "site-footer" or "commentList" (but not "has-sidebar" or "notice-board"), and not where the rest of the page
+shows that the element is the content.
 """
 
 from __future__ import annotations
@@ -30,25 +33,53 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CONTAINERS = frozenset("article aside body center div main section td".split())
 _DROPPED = frozenset("aside button dialog footer form head iframe menu nav noscript object option script select style svg template textarea title".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar tooltip".split())
-_NAMES = frozenset("ad adbox ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter newsletters notice notices notification pager pagination popup promo promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+#: Words of a class or id that name something else than content; a name counts whose other words are all of _AROUND.
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+_NAMES = _COMMENTS | frozenset("ad adbox ads adsense advert advertisement adverts banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr login masthead menu modal nav navbar navigation newsletter newsletters notice notices notification notifications pager pagination popup promo promotion related share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+_AROUND = frozenset("aside area article bar blog bottom box block body button buttons card center col column container content count desktop entry first fixed floating form global group heading horizontal icons inline inner item items js large latest left link links list lower main mini mobile mod module news outer page panel popular post posts primary reader region right row second secondary section site slot small sticky story strip text thread title to top unit upper user vertical wrap wrapper zone".split())
 _HEADERS = frozenset(("header",))
+#: Text outside links of a container that is named so, from which on it may be the content of a page without any other.
+CONTENT_CHARS = 250
 #: What an opening tag ends if it is still open: an element and the ancestors at which the search stops.
 _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("td", ("tr", "table")), "option": ("option", ("select",))}
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-_CUT_TAG = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
+_TAG = re.compile(r"<[A-Za-z/!?]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def _noise(value: str, names: frozenset) -> str | None:
+    """The word of ``names`` in a class or id (of one token or several) that makes it the name of something else, or null."""
+    for token in value.split():
+        words = [w.lower() for w in _SPLIT.findall(token)]
+        own = [w for w in words if w in names]
+        if own and all(w in names or w in _AROUND or w.isdigit() for w in words):
+            return own[0]
+    return None
+
+
+class _Dropped:
+    """A subtree dropped for its class or id: its tag's number, its text's length in and outside links, and whether it holds an article."""
+
+    def __init__(self, number: int, word: str):
+        self.number, self.word, self.size, self.links, self.article = number, word, 0, 0, False
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: [text parts, length, length in links, tags, container]; dropped subtrees leave none."""
+    """Lines of a page: [text parts, length, length in links, tags, container]; dropped subtrees leave none.
 
-    def __init__(self):
+    Tags whose numbers are in ``excused`` are not dropped for their class or id.
+    """
+
+    def __init__(self, excused: set[int]):
         super().__init__(convert_charrefs=True)
+        self.excused = excused
         self.lines: list[list] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, container, whether it began a dropped subtree
         self.parents = [-1]
-        self.kinds = [""]
-        self.container = self.dropped = self.links = self.tags = self.articles = 0
+        self.outer = [-1]  # the outermost article or main around each container
+        self.named: list[_Dropped] = []
+        self.container = self.dropped = self.links = self.tags = self.articles = self.opened = self.number = 0
+        self.by_name = False
         self.line: list | None = None
 
     def _end_line(self) -> None:
@@ -56,28 +87,34 @@ class _Lines(HTMLParser):
             self.lines.append(self.line)
             self.line = None
 
-    def _named(self, tag: str, attrs: list) -> bool:
+    def _drops(self, tag: str, attrs: list) -> bool:
         if tag in _DROPPED:
             return True
         if tag == "header":
             return not self.articles
+        word = None
         for key, value in attrs:
             if key in ("class", "id") and value and tag not in ("body", "html", "main"):
-                words = {w.lower() for w in _SPLIT.findall(value)}
-                if tag == "article":
-                    if words & {"comment", "comments", "reply"}:
-                        return True
-                elif words & _NAMES or not self.articles and words & _HEADERS:
-                    return True
+                names = _COMMENTS if tag == "article" else _NAMES if self.articles else _NAMES | _HEADERS
+                word = word or _noise(value, names)
             elif key == "role":
                 if (value or "").lower() in _ROLES:
                     return True
             elif key == "hidden" or key == "aria-hidden" and (value or "").lower() == "true" or key == "style" and value and _HIDDEN.search(value):
                 return True
-        return False
+        if word is None or self.number in self.excused:
+            return False
+        if not self.dropped:
+            self.named.append(_Dropped(self.number, word))
+        return True
+
+    def _holder(self) -> _Dropped | None:
+        """The dropped subtree around, if it is one for its name and nothing in it is dropped besides."""
+        return self.named[-1] if self.dropped == 1 and self.by_name else None
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self.number += 1
         if tag == "br":
             if self.line is not None:
                 self.line[0].append(" ")
@@ -90,18 +127,27 @@ class _Lines(HTMLParser):
                 self._close(*_CLOSES[tag])
         if tag in _VOID:
             return
-        drop = bool(attrs or tag in _DROPPED or tag == "header") and self._named(tag, attrs)
+        before = len(self.named)
+        drop = bool(attrs or tag in _DROPPED or tag == "header") and self._drops(tag, attrs)
         self.stack.append((tag, self.container, drop))
         if drop:
+            if not self.dropped:
+                self.by_name = len(self.named) > before
             self.dropped += 1
         if tag == "a":
             self.links += 1
         elif tag in _CONTAINERS:
+            new = len(self.parents)
+            article = tag in ("article", "main")
             self.parents.append(self.container)
-            self.kinds.append(tag)
-            self.container = len(self.kinds) - 1
-            if tag in ("article", "main"):
+            self.outer.append(o if (o := self.outer[self.container]) >= 0 else new if article else -1)
+            self.container = new
+            if article:
                 self.articles += 1
+                if not self.dropped:
+                    self.opened += 1
+                elif holder := self._holder():
+                    holder.article = True
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -141,9 +187,12 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
+        size = len(data)
         if self.dropped:
+            if holder := self._holder():
+                holder.size += size
+                holder.links += size if self.links else 0
             return
-        size = len(data)
         if self.line is None:
             if data.isspace():
                 return
@@ -173,6 +222,29 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def _parsed(html: str) -> tuple[_Lines, list[tuple[str, list]]]:
+    """The page's lines, with whatever a class or id has named wrongly put back.
+
+    A subtree that is dropped for its name is the content after all if it holds an article, the rest of the page has
+    none, and less text; or if it holds a text of its own and the rest of the page none.  Comments are never that.
+    """
+    excused: set[int] = set()
+    while True:
+        parser = _Lines(excused)
+        parser.feed(html)
+        parser.close()
+        parser._end_line()
+        lines = [(text, line) for line in parser.lines if (text := " ".join("".join(line[0]).split()))]
+        size = sum(line[1] for _, line in lines)
+        named = [d for d in parser.named if d.word not in _COMMENTS]
+        back = [d for d in named if d.article and d.size > size] if not parser.opened else []
+        if not back and not lines:
+            back = [d for d in named if d.size - d.links >= max(CONTENT_CHARS, d.size / 2)]
+        if not back:
+            return parser, lines
+        excused.update(d.number for d in back)
+
+
 def main_text(html: str | None) -> str:
     """The page's main text: its blocks in page order, joined by an empty line; empty if there is none.
 
@@ -181,36 +253,30 @@ def main_text(html: str | None) -> str:
     """
     if not html:
         return ""
-    parser = _Lines()
-    parser.feed(_CUT_TAG.sub("", html[-4096:]).join((html[:-4096], "")) if html.rfind("<") > html.rfind(">") else html)
-    parser.close()
-    parser._end_line()
-    lines = [(text, line) for line in parser.lines if (text := " ".join("".join(line[0]).split()))]
+    open_tag = _TAG.search(html, html.rfind(">") + 1)
+    parser, lines = _parsed(html[: open_tag.start()] if open_tag else html)
     if not lines:
         return ""
     ratios = [max(0, line[1] - line[2]) / max(1, line[3]) for _, line in lines]
     smooth = smoothed(ratios)
     mean = sum(smooth) / len(smooth)
     cut = min(mean, THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
-    parents, kinds = parser.parents, parser.kinds
+    outer = parser.outer
     held = {line[4] for (_, line), ratio in zip(lines, smooth) if ratio >= cut}
-    articles = {_inside(c, parents, kinds) for c in held} - {None}
-    region = {_inside(line[4], parents, kinds) for _, line in lines} - {None} if articles else {_around(held, parents)}
-    kept = []
-    for text, line in lines:
-        c = line[4]
-        while c >= 0 and c not in region:
-            c = parents[c]
-        if c in region:
-            kept.append(text)
-    return "\n\n".join(kept)
+    if any(outer[c] >= 0 for c in held):
+        return "\n\n".join([text for text, line in lines if outer[line[4]] >= 0])
+    region = _around(held, parser.parents)
+    inside = [False] * len(parser.parents)
+    for c, parent in enumerate(parser.parents):
+        # A container's number is above that of the one around it.
+        inside[c] = c == region or parent >= 0 and inside[parent]
+    return "\n\n".join([text for text, line in lines if inside[line[4]]])
 
 
 def _around(held: set[int], parents: list[int]) -> int:
     """The innermost container around all of ``held``."""
     c, *others = sorted(held)
     for other in others:
-        # A container's number is above that of the one around it.
         while c != other:
             if c > other:
                 c = parents[c]
@@ -219,16 +285,6 @@ def _around(held: set[int], parents: list[int]) -> int:
     return c
 
 
-def _inside(c: int, parents: list[int], kinds: list[str]) -> int | None:
-    """The outermost article or main around container ``c``."""
-    found = None
-    while c >= 0:
-        if kinds[c] in ("article", "main"):
-            found = c
-        c = parents[c]
-    return found
-
-
 def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row's whole html.
 
