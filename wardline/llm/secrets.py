@@ -13,9 +13,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
-from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -28,8 +27,6 @@ from .common import slices
 KINDS = ("assign", "access", "hex", "named")
 #: A literal from this score on is a secret.
 THRESHOLD = 0.75
-#: An expression of more literals than this is built up, and no constant.
-MAX_PARTS = 64
 
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -38,14 +35,15 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Fewest characters: of an assignment's value and of an access key.
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 
-# Names begin at a boundary and have a length, or long runs of name characters would take quadratic time.
-_TARGET = re.compile(r"""(?<![\w$.\-])(["'`]?)-{0,2}([A-Za-z_$][\w$.\-]{0,99})(?<![.\-])\1[ \t]{0,20}(?:\[[^\]\n]{0,80}\][ \t]{0,20})?(:=|=>|=(?!=)|:(?!:|//|=))[ \t]*""", re.ASCII)
-_ANNOTATION = re.compile(r"[A-Za-z_][\w.\[\], |]{0,60}=(?!=)[ \t]*", re.ASCII)
-_OPERAND = re.compile(r"""[rRbBuUfF]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([A-Za-z_$][\w$]*(?:\.[\w$]+)*)(?![\w$+/=.\-@!#%^&*(])""", re.ASCII)
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
-_BARE = re.compile(r"""[^\s"'`,;<>{}()\[\]]+""")
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>([^<>\n]+)</\1\s*>", re.ASCII)
-_URL = re.compile(r"://[^\s/:@'\"]{0,200}:([^\s/@'\"]{1,200})@", re.ASCII)
+# A name begins at a boundary, and nothing that is matched is given back, so that a text of any shape takes linear time.
+_TARGET = re.compile(r"""(?<![\w$.\-])(["'`]?)-{0,2}([A-Za-z_$][\w$.\-]*+)(?<![.\-])\1[ \t]*+(?:\[[^\[\]\n]*+\][ \t]*+)?(:=|=>|=(?!=)|:(?!:|//|=))[ \t]*+""", re.ASCII)
+_TYPE = r"[A-Za-z_][\w.]*+(?:\[[\w.,| \[\]]*+)?"
+_ANNOTATION = re.compile(rf"{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE})*+[ \t]*+=(?!=)[ \t]*+", re.ASCII)
+_OPERAND = re.compile(r"""[rRbBuUfF]{0,2}(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`)|([A-Za-z_$][\w$]*+(?:\.[\w$]++)*+)(?![\w$+/=.\-@!#%^&*(])""", re.ASCII)
+_PLUS = re.compile(r"[ \t]*+(?:\+|\.\.)[ \t]*+")
+_BARE = re.compile(r"""[^\s"'`,;<>{}()\[\]]++""")
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?>([^<>\n]++)</\1\s*+>", re.ASCII)
+_URL = re.compile(r"://[^\s/:@'\"]*+:([^\s/@'\"]++)@", re.ASCII)
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: How much a word of a name says; pairs of adjacent words come first.
@@ -85,20 +83,60 @@ def name_weight(name: str) -> float:
 
 def literal_weight(value: str, quoted: bool) -> float:
     """How much a literal looks like a generated value, from 0 to 1; an unquoted one needs two kinds of characters."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    if kinds < 2 + (not quoted and value[:1].isupper() and value[1:].islower()) and (not quoted or len(value) < 12):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, entropy / 2.6) * min(1.0, n / 8)
+    return 0.0 if _PLACEHOLDER.match(value) else Literal(0, len(value), quoted).measure(value).weight()
+
 
+class Literal:
+    """A literal of the text, or a concatenation of such: what its value is like, without the value.
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
-    """(target name, [(start, end, quoted) of each literal that reaches it]) in order, constants propagated."""
-    out: list[tuple[str, list]] = []
-    known: dict[str, list] = {}
+    A concatenation only points to its parts, so constants that grow by and by take no more than a step each.
+    """
+
+    __slots__ = ("chars", "end", "first", "found", "parts", "quoted", "size", "spaced", "start")
+
+    def __init__(self, start: int, end: int, quoted: bool, parts: tuple = ()):
+        self.start, self.end, self.quoted, self.parts = start, end, quoted, parts
+        self.chars: Counter | None = None
+        self.found = False
+
+    def measure(self, value: str) -> Literal:
+        self.chars, self.size, self.first = Counter(value), len(value), value[:2]
+        self.spaced = any(c.isspace() for c in self.chars)
+        return self
+
+    def weight(self) -> float:
+        if self.size < 6 or self.spaced:
+            return 0.0
+        kinds = sum((any(c.islower() for c in self.chars), any(c.isupper() for c in self.chars), any(c.isdigit() for c in self.chars), any(not c.isalnum() for c in self.chars)))
+        titled = self.first[:1].isupper() and sum(n for c, n in self.chars.items() if not c.islower()) == 1
+        if kinds < 2 + (not self.quoted and titled) and (not self.quoted or self.size < 12):
+            return 0.0
+        entropy = -sum(c / self.size * math.log2(c / self.size) for c in self.chars.values())
+        return min(1.0, entropy / 2.6) * min(1.0, self.size / 8)
+
+
+def joined(parts: list[Literal], text: str) -> Literal:
+    """The concatenation of literals; one that recurs counts once."""
+    parts = list({id(p): p for p in parts}.values())
+    for p in parts:
+        if p.chars is None:
+            p.measure(text[p.start : p.end])
+    if len(parts) == 1:
+        return parts[0]
+    out = Literal(0, 0, all(p.quoted for p in parts), tuple(parts))
+    out.chars = sum((p.chars for p in parts), Counter())
+    out.size, out.spaced, out.first = sum(p.size for p in parts), any(p.spaced for p in parts), next((p.first for p in parts if p.first), "")
+    if out.size > 1 << 40:
+        # Doubling over and over: only the shares of the characters matter.
+        out.chars = Counter({c: max(1, n >> 20) for c, n in out.chars.items()})
+        out.size = out.chars.total()
+    return out
+
+
+def pairs(text: str) -> list[tuple[str, Literal]]:
+    """(target name, what reaches it) in order, constants propagated."""
+    out: list[tuple[str, Literal]] = []
+    known: dict[str, Literal | None] = {}
     if "=" in text or ":" in text:
         at = 0
         while (m := _TARGET.search(text, at)) is not None:
@@ -108,35 +146,35 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
                 at = a.end()
             literals, end = _expression(text, at, known)
             at = max(at, end)
-            literals = list(dict.fromkeys(literals))
-            known[name] = literals = literals if len(literals) <= MAX_PARTS else []
+            known[name] = joined(literals, text) if literals else None
             if literals:
-                out.append((name, literals))
+                out.append((name, known[name]))
     if "</" in text:
-        out += [(m[1], [(m.start(2), m.end(2), True)]) for m in _ELEMENT.finditer(text)]
+        out += [(m[1], joined([Literal(m.start(2), m.end(2), True)], text)) for m in _ELEMENT.finditer(text)]
     if "://" in text:
-        out += [("password", [(m.start(1), m.end(1), True)]) for m in _URL.finditer(text)]
+        out += [("password", joined([Literal(m.start(1), m.end(1), True)], text)) for m in _URL.finditer(text)]
     return out
 
 
-def _expression(text: str, at: int, known: dict[str, list]) -> tuple[list[tuple[int, int, bool]], int]:
+def _expression(text: str, at: int, known: dict[str, Literal | None]) -> tuple[list[Literal], int]:
     """The literals of the expression at ``at``, and where it ends."""
-    literals: list = []
+    literals: list[Literal] = []
     first = True
     while True:
         if (m := _OPERAND.match(text, at)) is None:
             if first and (b := _BARE.match(text, at)):
-                return [] if text[b.end() : b.end() + 1] == "(" else [(b.start(), b.end(), False)], b.end()
+                return [] if text[b.end() : b.end() + 1] == "(" else [Literal(b.start(), b.end(), False)], b.end()
             return literals, at
         if m[4] is None:
             g = next(k for k in (1, 2, 3) if m[k] is not None)
-            literals.append((m.start(g), m.end(g), True))
-        elif m[4] in known and len(literals) <= MAX_PARTS:
-            literals = [*literals, *known[m[4]]]
+            literals.append(Literal(m.start(g), m.end(g), True))
+        elif m[4] in known:
+            if (own := known[m[4]]) is not None:
+                literals.append(own)
         elif first:
             # An unknown name is a bare value of a configuration, unless more follows.
             if _PLUS.match(text, m.end()) is None:
-                return [(m.start(4), m.end(4), False)], m.end()
+                return [Literal(m.start(4), m.end(4), False)], m.end()
         first = False
         at = m.end()
         if (plus := _PLUS.match(text, at)) is None:
@@ -145,30 +183,48 @@ def _expression(text: str, at: int, known: dict[str, list]) -> tuple[list[tuple[
 
 
 def named_spans(text: str) -> list[Span]:
-    """Spans of literals that reach a sensitive name, by the method above."""
+    """Spans of literals that reach a sensitive name, by the method above.
+
+    A literal that is a placeholder scores nothing by itself; of a concatenation, the whole is scored.
+    """
     found = set()
-    for name, literals in pairs(text):
-        if weight := name_weight(name):
-            whole = "".join(text[a:b] for a, b, _ in literals)
-            quoted = all(q for _, _, q in literals)
-            if weight * literal_weight(whole, quoted) >= THRESHOLD:
-                found |= {Span(a, 3, b) for a, b, _ in literals if b > a}
+    for name, value in pairs(text):
+        if value.found or not (weight := name_weight(name)) or weight * value.weight() < THRESHOLD:
+            continue
+        if not value.parts and _PLACEHOLDER.match(text[value.start : value.end]):
+            continue
+        # Every part is walked once, however many constants hold it.
+        waiting = [value]
+        while waiting:
+            one = waiting.pop()
+            if not one.found:
+                one.found = True
+                waiting += one.parts
+                if not one.parts and one.end > one.start:
+                    found.add(Span(one.start, 3, one.end))
     return sorted(found)
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span], list[tuple[int, int]]]:
     """(base spans, base and named spans, ranges of the secrets themselves), each sorted; base spans stay whatever the method finds.
 
-    A named span that lies in a base span, or a base one's secret in it, adds nothing and is left out.
+    A named span adds nothing, and is left out, where it lies within the base spans' secrets; one that reaches
+    further than they do stays.
     """
     base = sorted(base_spans(text))
     own = [s for s, _ in base]
     ranges = [(at, s.end) for s, at in base]
-    starts, reach = [a for a, _ in sorted(ranges)], list(accumulate((b for _, b in sorted(ranges)), max))
+    merged: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
     more = []
     for s in named_spans(text) if "=" in text or ":" in text or "</" in text else ():
-        before = bisect_left(starts, s.end)  # the ranges that begin before the span ends
-        if not before or reach[before - 1] <= s.start:
+        before = bisect_right(starts, s.start)
+        if not before or merged[before - 1][1] < s.end:
             more.append(s)
     return own, sorted(own + more), sorted(ranges + [(s.start, s.end) for s in more])
 
