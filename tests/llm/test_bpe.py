@@ -75,6 +75,30 @@ def test_utf8_stream():
             assert got == codecs.decode(data, "utf-8", "replace")
 
 
+def test_utf8_automaton_over_all_short_strings():
+    import itertools
+
+    some = [0x00, 0x41, 0x7F, 0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF, 0xC0, 0xC1, 0xC2, 0xDF, 0xE0, 0xE1, 0xEC, 0xED, 0xEE, 0xEF, 0xF0, 0xF1, 0xF3, 0xF4, 0xF5, 0xFF]
+    for n in range(1, 5):
+        for data in itertools.product(some, repeat=n) if n < 4 else itertools.product(some[12:24], some, (0x41, 0x80, 0xBF, 0xC2), (0x80, 0x9F, 0xF0)):
+            s = bpe_fst.Utf8Stream()
+            assert "".join([s.feed(bytes([b])) for b in data]) + s.finish() == bytes(data).decode("utf-8", "replace")
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+    strict = bpe_fst.Utf8Stream("strict")
+    assert strict.feed(every.encode()) + strict.finish() == every
+    with pytest.raises(ValueError):
+        strict.feed(b"\xed\xa0")
+
+
+@pytest.mark.parametrize("pattern", [r"\s+|\S+", r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+", r".|\n"])
+def test_other_patterns_split_whole_texts(ranks, pattern):
+    library, codec = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), bpe_fst.Codec(ranks, pattern)
+    r = random.Random(7)
+    for _ in range(400):
+        text = "".join(r.choice(["Hello", " ", "  ", "\n", "\n\n", ".", "!?", "é", "12345", "\r\n", "'s", "word"]) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text), repr(text)
+
+
 def test_no_vocabulary():
     with pytest.raises(ValueError):
         bpe_fst.Transducer({b"a": 0})

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filesystem, slices
-from .units import Memo, literal, unit_keys
+from .units import FRONT_SPACE, Memo, literal, unit_keys
 
 #: Memoised text units of one worker.
 UNIT_MEMO = 300_000
@@ -151,37 +152,65 @@ class Transducer:
         return out
 
 
+def _utf8_table() -> list[list[int]]:
+    """The automaton's next state by state and byte, from the definition of well-formed UTF-8.
+
+    State 0 is between characters; 1 to 3 wait for as many continuation bytes; 4 to 7 are those after the lead
+    bytes E0, ED, F0 and F4, whose first continuation byte has bounds of its own; -1 is where nothing leads.
+    """
+    table = [[-1] * 256 for _ in range(8)]
+    for state, low, high, to in ((0, 0x00, 0x7F, 0), (0, 0xC2, 0xDF, 1), (0, 0xE0, 0xEF, 2), (0, 0xF0, 0xF4, 3), (0, 0xE0, 0xE0, 4), (0, 0xED, 0xED, 5), (0, 0xF0, 0xF0, 6), (0, 0xF4, 0xF4, 7), (1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        table[state][low : high + 1] = [to] * (high + 1 - low)
+    return table
+
+
 class Utf8Stream:
-    """Incremental UTF-8: feed() takes bytes cut anywhere and returns the text complete so far."""
+    """Incremental UTF-8 as a table-driven automaton: feed() takes bytes cut anywhere and returns the text complete so far.
+
+    What can't go on is one U+FFFD for each longest start of a character, or an error with errors="strict".  Runs of
+    ASCII stay in the state between characters, so they are taken as a whole.
+    """
 
-    # Of a lead byte: how many continuation bytes follow; the bounds of the first of them where not 80..BF.
-    _FOLLOW = [0] * 0xC2 + [1] * 30 + [2] * 16 + [3] * 5 + [0] * 11
-    _FIRST = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
+    _NEXT = _utf8_table()
+    _ASCII = re.compile(rb"[\x00-\x7f]+").match
+    #: Bits of a lead byte that belong to the character, by the state that it leads to.
+    _BITS = (0x7F, 0x1F, 0x0F, 0x07, 0x0F, 0x0F, 0x07, 0x07)
 
     def __init__(self, errors: str = "replace"):
-        self.errors, self._kept = errors, b""
+        self._strict, self._state, self._code = errors == "strict", 0, 0
 
-    def _open(self, data: bytes) -> int:
-        """How many bytes at the end are the start of a character whose rest may still come."""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if 0x80 <= lead <= 0xBF:
-                continue
-            if self._FOLLOW[lead] < back:
-                return 0
-            low, high = self._FIRST.get(lead, (0x80, 0xBF))
-            return back if back == 1 or low <= data[1 - back] <= high else 0
-        return 0
+    def _bad(self) -> str:
+        if self._strict:
+            raise ValueError("bytes that are not well-formed UTF-8")
+        return "\ufffd"
 
     def feed(self, data: bytes) -> str:
-        data = self._kept + data
-        cut = len(data) - self._open(data)
-        self._kept = data[cut:]
-        return data[:cut].decode("utf-8", self.errors)
+        out, at, end = [], 0, len(data)
+        state, code, table, bits, ascii_run = self._state, self._code, self._NEXT, self._BITS, self._ASCII
+        while at < end:
+            if not state and (run := ascii_run(data, at)):
+                out.append(run[0].decode("ascii"))
+                at = run.end()
+                continue
+            byte = data[at]
+            to = table[state][byte]
+            if to < 0:
+                out.append(self._bad())
+                # A byte that breaks a character off may begin the next one.
+                at += not state
+                state = 0
+                continue
+            code = code << 6 | byte & 0x3F if state else byte & bits[to]
+            state = to
+            at += 1
+            if not state:
+                out.append(chr(code))
+        self._state, self._code = state, code
+        return "".join(out)
 
     def finish(self) -> str:
-        rest, self._kept = self._kept, b""
-        return rest.decode("utf-8", self.errors)
+        broken, self._state = self._state, 0
+        return self._bad() if broken else ""
 
 
 class Codec:
@@ -192,25 +221,29 @@ class Codec:
 
         self.fst = Transducer(ranks)
         self._split = regex.compile(pattern).findall
+        self._by_units = pattern in FRONT_SPACE
         self._memo = Memo(UNIT_MEMO)
         self._table = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             self._table[i] = token
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", self.fst.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+
     def _unit(self, text: str) -> bytes:
-        ids: list[int] = []
-        for piece in self._split(text):
-            ids += self.fst.piece(piece.encode("utf-8", "surrogatepass"))
-        return array("I", ids).tobytes()
+        return b"".join([self._piece(piece) for piece in self._split(text)])
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; each distinct unit of a text runs through the transducer once."""
-        keys = unit_keys(text)
+        """Ids as little-endian unsigned 32-bit integers; each distinct unit of a text runs through the transducer once.
+
+        Under a pattern that isn't known to split units as it splits their text, the text's pieces are its units.
+        """
         memo = self._memo
+        keys = unit_keys(text) if self._by_units else [" " + piece for piece in self._split(text)]
         out = list(map(memo.get, keys))
         for i in [i for i, ids in enumerate(out) if ids is None]:
             if (ids := memo.get(keys[i])) is None:
-                memo.keep(keys[i], ids := self._unit(literal(keys[i])))
+                memo.keep(keys[i], ids := self._unit(literal(keys[i])) if self._by_units else self._piece(keys[i][1:]))
             out[i] = ids
         return b"".join(out)
 
@@ -255,8 +288,8 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, *, id_col: st
     """Encode every whole text, and decode the ids again.
 
     Returns ``id_col``, the columns of ``keep``, ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens``,
-    ``ids_sha256`` and ``decoded_sha256`` (of the bytes that the ids decode to), and with ``decoded`` the
-    decoded text.  One row for each input row; a null or empty text has no ids; a null id stays; other columns
+    ``ids_sha256`` and ``decoded_sha256`` (of the UTF-8 of the text that the ids decode to), and with ``decoded`` that
+    text.  One row for each input row; a null or empty text has no ids; a null id stays; other columns
     of the input, whatever their names, are not read.  Special-token strings in a text are ordinary text.
     """
     data = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
@@ -273,13 +306,16 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, *, id_col: st
                 own = codec.encode((raw or b"").decode("utf-8", "replace"))
                 sha, stream, parts = hashlib.sha256(), Utf8Stream(), []
                 for part in codec.decode_bytes(own):
-                    sha.update(part)
+                    text = stream.feed(part)
+                    sha.update(text.encode())
                     if decoded:
-                        parts.append(stream.feed(part))
+                        parts.append(text)
+                rest = stream.finish()
+                sha.update(rest.encode())
                 ids.append(own)
                 digests.append(hashlib.sha256(own).hexdigest())
                 back.append(sha.hexdigest())
-                texts.append("".join(parts) + stream.finish())
+                texts.append("".join(parts) + rest)
             columns = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(texts, pa.string())] if decoded else []), names=[*batch.schema.names[:-1], "ids", "n_tokens", "ids_sha256", "decoded_sha256", *(["decoded"] if decoded else [])])
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 
+#: Fixed value: the split pattern known to take white space only at the front of its pieces.  Texts under another are not cut into units.
+FRONT_SPACE = frozenset((r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",))
+
 # White space as the pattern's \s has it; Python's also counts U+001C..U+001F.
 _UNITS = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
 _RUNS = re.compile(r"\s\s")
