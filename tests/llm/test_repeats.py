@@ -1,57 +1,122 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import queries, repeats
 from wardline.llm.common import written
 
 
-def plain(rows, least=repeats.MIN_WORDS):
-    """Brute force over ranked units: {(id, start, end, words, units, first id)}."""
+def tokens(text):
+    """(word in lower case, start, end) of a text, by a walk over its characters."""
+    out, at = [], None
+    for k, c in enumerate(text + " "):
+        if c.isspace():
+            if at is not None:
+                out.append((text[at:k].lower(), at, k))
+                at = None
+        elif at is None:
+            at = k
+    return out
+
+
+def ranked(rows):
     import xxhash
 
     def version(text):
         v = xxhash.xxh64_intdigest(text.encode())
         return v - (1 << 64) if v >> 63 else v
 
-    docs = sorted({(i, version(t), t) for i, t in rows if i is not None and t is not None})
+    return sorted({(i, version(t), t) for i, t in rows if i is not None and t is not None})
+
+
+def plain(rows, least=repeats.MIN_WORDS):
+    """Brute force over every run of ``least`` words in rank order: {(id, start, end, words)}."""
     first, out = {}, []
-    for i, _, text in docs:
-        run = []
-        for start, end, n, data in [*repeats.units(text), (0, 0, 0, None)]:
-            if data is not None and data in first:
-                run.append((start, end, n, first[data]))
-                continue
-            if run and sum(r[2] for r in run) >= least:
-                out.append((i, run[0][0], run[-1][1], sum(r[2] for r in run), len(run), min(r[3] for r in run)))
-            run = []
-            if data is not None:
-                first[data] = i
+    for doc, (i, _, text) in enumerate(ranked(rows)):
+        found = tokens(text)
+        gone = [False] * len(found)
+        for k in range(len(found) - least + 1):
+            run = tuple(w for w, _, _ in found[k : k + least])
+            at = first.setdefault(run, (doc, k))
+            if at[0] != doc or k >= at[1] + least:
+                gone[k : k + least] = [True] * least
+        k = 0
+        while k < len(found):
+            n = 0
+            while k + n < len(found) and gone[k + n]:
+                n += 1
+            if n:
+                out.append((i, found[k][1], found[k + n - 1][2], n))
+            k += n + 1
     return sorted(out)
 
 
 def spans(df, **options):
-    out = repeats.repeated_spans(df, **options)
-    return sorted(tuple(r) for r in out.select("doc_id", "start", "end", "n_words", "n_units", "first_doc_id").collect())
-
-
-def test_units():
-    text = "One two. Three?! four 3.5 v1.2\nline\n\n  ... \nLast one"
-    assert [text[a:b] for a, b, _, _ in repeats.units(text)] == ["One two.", "Three?!", "four 3.5 v1.2", "line", "Last one"]
-    assert repeats.units("aÉ  B.")[0][2:] == (2, "aé b.".encode())
-    assert repeats.units("") == [] and repeats.units(" \n!!!") == []
-    assert len(repeats.units("." * 100_000 + "a" + "." * 100_000)) == 1
-
-
-def test_against_brute_force(docs, rows):
-    assert spans(docs) == plain(rows)
-    assert spans(docs, min_words=1) == plain(rows, 1) and plain(rows, 1)
-    assert spans(docs.limit(0)) == []
-
-
-def test_the_query(spark, sf):
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    assert sorted(map(tuple, queries.op5_substring_dedup(spark, sf).collect())) == plain(rows)
+    return sorted(tuple(r) for r in repeats.repeated_spans(df, **options).select("doc_id", "start", "end", "n_words").collect())
+
+
+def frame(spark, rows, name):
+    return written(spark.createDataFrame(rows, "doc_id bigint, text string"), name)
+
+
+def test_lines_and_paragraphs():
+    text = " One two.\n\n  \nThree four\n five \n\n\n"
+    assert [text[a:b] for a, b, _ in repeats.lines_of(text)] == ["One two.", "Three four", "five"]
+    assert [(text[a:b], n) for a, b, n in repeats.lines_of(text, "paragraph")] == [("One two.", 2), ("Three four\n five", 3)]
+    assert repeats.lines_of("") == repeats.lines_of(" \n\t\n") == []
+
+
+@pytest.mark.parametrize("least", [1, 2, 7, 50])
+def test_against_brute_force(docs, rows, least):
+    assert spans(docs, min_words=least) == plain(rows, least) and (least > 20 or plain(rows, least))
+
+
+def test_random_texts_against_brute_force(spark):
+    r = random.Random(3)
+    pool = [" ".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(40)]
+    rows = []
+    for k in range(150):
+        parts = [r.choice(pool) if r.random() < 0.6 else " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 25))) for _ in range(r.randint(0, 8))]
+        rows.append((r.randint(0, 120), r.choice([" ", "\n", "\n\n", "  \n "]).join(parts)))
+    rows += [(200, "and " * 300), (201, "And " * 40 + "\n" + "and " * 90), (202, "x\n" * 120), (203, "a b c\nd e f\n" * 20)]
+    df = frame(spark, rows, "random")
+    for least in (2, 5, 12, 20):
+        assert spans(df, min_words=least) == plain(rows, least)
+
+
+def test_the_query_against_brute_force(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+        out = queries.op5_substring_dedup(spark, sf).collect()
+        assert sorted(tuple(r)[:4] for r in out) == plain(rows)
+        assert all(r["first_doc_id"] <= r["doc_id"] for r in out)
+
+
+def test_repeated_lines_of_any_length(spark, docs, rows):
+    for unit in ("line", "paragraph"):
+        seen, want = {}, []
+        for i, _, text in ranked(rows):
+            cut = repeats.lines_of(text, unit)
+            for place, (a, b, n) in enumerate(cut):
+                key = tuple(w for w, _, _ in tokens(text[a:b]))
+                if key in seen:
+                    want.append((i, place, a, b, n, *seen[key]))
+                else:
+                    seen[key] = (i, place)
+        got = repeats.repeated_lines(docs, unit=unit).select("doc_id", "place", "start", "end", "n_words", "first_doc_id", "first_place").collect()
+        assert sorted(map(tuple, got)) == sorted(want) and want
+    short = frame(spark, [(1, "four words are here\nown"), (2, "x\nFour  words are here")], "short")
+    cut = repeats.without_repeats(short, spans=repeats.repeated_lines(short))
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "four words are here\nown", 2: "x\n"}
+
+
+def test_sentences_that_stand_singly_are_no_passage(spark):
+    r = random.Random(8)
+    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    lines = [say(12) for _ in range(5)]
+    rows = [(k, say(20) + "\n" + line + "\n" + say(20)) for k, line in enumerate(lines)] + [(9, "\n".join(lines))]
+    assert spans(frame(spark, rows, "singly")) == []
 
 
 def test_planted_passages_go_and_clean_documents_stay(spark):
@@ -65,7 +130,7 @@ def test_planted_passages_go_and_clean_documents_stay(spark):
         texts[k] = texts[k] + "\n" + passage.upper() + "\n" + say(3)
     texts[20] = say(3) + " " + passage + " " + say(2)
     rows = list(enumerate(texts))
-    df = written(spark.createDataFrame(rows, "doc_id bigint, text string"), "planted")
+    df = frame(spark, rows, "planted")
     assert {s[0] for s in spans(df)} == {9, 20}
     out = {x["doc_id"]: x for x in repeats.without_repeats(df.withColumn("removed_by", F.lit("x"))).collect()}
     for i, text in rows:
@@ -77,47 +142,4 @@ def test_hard_rows(docs, rows):
     out = repeats.without_repeats(docs)
     assert out.count() == len(rows) and set(out.columns) == {*docs.columns, "removed"}
     assert {r["doc_id"] for r in out.where("text is null").collect()} == {1}
-
-
-def test_a_passage_set_into_sentences_goes_with_its_part_sentences(spark):
-    r = random.Random(5)
-    say = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
-    head, whole, tail = say(20), say(12).capitalize() + ".", say(20).capitalize()
-    passage = f"{head}. {whole} {tail}"
-    inside = f"{say(9)} {passage.upper()} {say(7)}. {say(30)}."
-    rows = [(1, f"{say(30)}. {say(5)} {passage} {say(6)}."), (2, inside), (3, f"{say(20)}. {whole} {say(20)}."), (4, f"{say(30)}.\n{whole}")]
-    at = inside.index(passage.upper())
-    got = spans(written(spark.createDataFrame(rows, "doc_id bigint, text string"), "set-in"))
-    assert got == [(2, at, at + len(passage), 52, 1, 1)]
-
-
-def test_the_query_has_every_long_run_and_every_window_around_a_short_one(spark, sf):
-    rows = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if r["text"] is not None)
-    got = {tuple(r) for r in queries.op5_substring_dedup(spark, sf).collect()}
-    long = set(plain(rows))
-    assert long < got
-    words, first = {}, {}
-    for i, text in rows:
-        words[i] = repeats.spaced(text)
-        tokens = words[i][0]
-        for at in range(len(tokens) - 24):
-            first.setdefault(tuple(tokens[at : at + 25]), (i, at))
-    for i, a, z, n, _, least in got - long:
-        tokens, starts, stops = words[i]
-        lo, hi = starts.index(a), stops.index(z) + 1
-        assert hi - lo == n and least <= i
-        beside = any(x[0] == i and (x[1] <= z + 1 and a <= x[2] + 1) for x in long)
-        assert beside or n >= 25 and all(any(first[tuple(tokens[k : k + 25])] != (i, k) for k in range(max(lo, w - 24), min(w, hi - 25) + 1)) for w in range(lo, hi))
-    # The other way round: a repeated window that holds a unit of a short run is gone.
-    seen = set()
-    for i, text in rows:
-        tokens, starts, stops = words[i]
-        gone = [(x[1], x[2]) for x in got if x[0] == i]
-        for a, z, n, data in repeats.units(text):
-            if data in seen and not any(x[0] == i and x[1] <= a and z <= x[2] for x in long):
-                for k in range(len(tokens) - 24):
-                    if starts[k] <= a and z <= stops[k + 24]:
-                        at = first[tuple(tokens[k : k + 25])]
-                        if at[0] != i or k >= at[1] + 25:
-                            assert all(any(s <= starts[w] and stops[w] <= e for s, e in gone) for w in range(k, k + 25))
-            seen.add(data)
+    assert spans(docs.limit(0)) == [] and repeats.repeated_lines(docs.limit(0)).collect() == []

@@ -57,8 +57,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each repeated passage that goes: documents without one have no row."""
-    return repeats.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words", "n_units", "first_doc_id")
+    """A row for each repeated passage of 50 words or more that goes: documents without one have no row."""
+    return repeats.repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "n_words", "first_doc_id")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

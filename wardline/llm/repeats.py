@@ -1,15 +1,16 @@
 """Substring dedup by hashing: passages that stand in more than one place are kept once, where they rank first.
 
-Units are lines, cut further after sentence ends, so that a passage set into other text still has units of its
-own.  A unit is normalised (letter case and white space) and hashed; digests are grouped over the whole corpus,
-and of each the occurrence of the lowest (document, place) is the one that stays.  The others are candidates,
-and adjacent ones join to spans; a span of ``MIN_WORDS`` words or more is a repeated passage and goes.  Spans are
-offsets into the original text.
+Units are normalised (letter case and white space) and hashed; digests are grouped over the whole corpus, and of each
+the occurrence of the lowest (document, place) is the one that stays.  There are two kinds of units:
 
-A passage set into other sentences has few whole units.  So a unit in a shorter span is looked at with the words
-around it: where ``MIN_WORDS`` words in a row that hold it stand earlier too, they go, part sentences included.
-Such windows are compared over the corpus by hash, and only of units that have half the missing words on one
-side in common with another occurrence.
+* *Lines* (or paragraphs).  Adjacent lines whose earliest occurrences are adjacent in one document, too, are a chain,
+  and a chain of ``MIN_WORDS`` words or more is a repeated passage: it stands earlier as it is, line for line.
+* *Runs of words*, since most repeated passages begin and end inside a line.  In every ``MIN_WORDS`` words the run of half
+  as many with the smallest hash is a mark; equal passages have equal marks, so only around marks that several places
+  have are the runs of ``MIN_WORDS`` words looked at, and those of them that stand earlier go.
+
+A passage therefore always stands earlier as a whole: lines that are repeated one here, one there, are none.
+Spans are offsets into the original text.
 
 The groups are aggregates with map-side combining, so a line that a third of all documents share is one row a
 task; the occurrences then meet their group in an equi-join, whose large partitions adaptive execution splits.
@@ -18,179 +19,281 @@ task; the occurrences then meet their group in an equi-join, whose large partiti
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, written
 
-#: Repeated passages of fewer words are left alone.
-MIN_WORDS = 25
-UNIT = "doc_id bigint, version bigint, place int, start int, stop int, n_words int, digest bigint, check int, before bigint, after bigint"
-WINDOW = "key bigint, doc_id bigint, version bigint, at int, asked boolean, lo int, hi int, start int, stop int"
-#: So many documents' plans are broadcast at most, to fetch the texts whose windows are compared.
-BROADCAST_PLANS = 20_000
+#: Fewest words of a repeated passage.
+MIN_WORDS = 50
+#: So many documents' plans are broadcast at most, to fetch the texts whose runs are compared; each has at most PLAN_MARKS marks.
+BROADCAST_PLANS, PLAN_MARKS = 20_000, 200
+#: Words whose hashes a worker remembers.
+WORD_MEMO = 300_000
+#: Places looked at together when marks are chosen.
+BLOCK = 1 << 16
+
+UNITS = "doc_id bigint, version bigint, n_words int, lines array<struct<place:int,lo:int,hi:int,start:int,stop:int,digest:bigint,check:bigint>>, marks array<struct<at:int,mark:bigint>>"
+RUN = "key bigint, check bigint, doc_id bigint, version bigint, at int, start int, stop int"
+SPAN = ["doc_id", "version", "start", "end", "n_words", "first_doc_id"]
 
-# A unit begins at a non-space and ends at a line's end, or after sentence marks before a space.
-_UNIT = re.compile(r"\S(?:[^\n.!?]|[.!?]++(?=\S))*+[.!?]*")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\n\s*)?\n")
+# Two odd multipliers, for hashes of runs of words that are independent of each other.
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, normalised bytes) of the units of a text, in order; marks alone are no unit."""
-    out = []
-    for m in _UNIT.finditer(text):
-        words = m[0].lower().split()
-        if any(c.isalnum() for c in m[0]):
-            out.append((m.start(), m.start() + len(m[0].rstrip()), len(words), " ".join(words).encode("utf-8", "replace")))
+class _Hashes(dict):
+    """64-bit hashes of words, made on demand."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        value = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < WORD_MEMO:
+            self[word] = value
+        return value
+
+
+class _Powers:
+    """Powers of the bases and of their inverses, as far as texts have needed them."""
+
+    def __init__(self):
+        self.size = 0
+
+    def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if self.size < n:
+            self.size = max(n, 2 * self.size, 1 << 12)
+            self.pairs = [tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(self.size - 1, x, np.uint64)])) for x in (b, pow(b, -1, 1 << 64))) for b in _BASES]
+        return self.pairs
+
+
+_HASHES, _POWERS = _Hashes(), _Powers()
+
+
+class Words:
+    """The normalised words of a text: digests of any of its runs of words in one step each."""
+
+    def __init__(self, text: str):
+        found = text.lower().split()
+        self.n = len(found)
+        hashes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, self.n)
+        self._powers = _POWERS.upto(self.n + 1)
+        self._sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * p[: self.n], dtype=np.uint64)]) for p, _ in self._powers]
+
+    def digests(self, lo: np.ndarray, hi: np.ndarray, which: int) -> np.ndarray:
+        """Hashes of the runs [lo, hi) as signed integers."""
+        sums, inverse = self._sums[which], self._powers[which][1]
+        x = (sums[hi] - sums[lo]) * inverse[lo]
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(0xFF51AFD7ED558CCD)
+        return (x ^ x >> np.uint64(33)).view(np.int64)
+
+    def marks(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes): of the runs of half ``size`` words in each run of ``size``, the one of the smallest hash, the first of several."""
+        half = (size + 1) // 2
+        reach = size - half + 1
+        if self.n < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.arange(self.n - half + 1)
+        hashes = self.digests(at, at + half, 0)
+        chosen = []
+        for k in range(0, len(hashes) - reach + 1, BLOCK):
+            part = np.lib.stride_tricks.sliding_window_view(hashes[k : k + BLOCK + reach - 1], reach)
+            chosen.append(np.unique(part.argmin(1) + np.arange(k, k + len(part))))
+        places = np.unique(np.concatenate(chosen))
+        return places, hashes[places]
+
+
+def lines_of(text: str, unit: str = "line") -> list[tuple[int, int, int]]:
+    """(start, stop, words) of the units of a text that have words, without the white space around them."""
+    out, at = [], 0
+    cuts = [(m.start(), m.end()) for m in _PARAGRAPH.finditer(text)] if unit == "paragraph" else [(k, k + 1) for k in _newlines(text)]
+    for end, nxt in [*cuts, (len(text), len(text))]:
+        line = text[at:end]
+        if n := len(line.split()):
+            out.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip()), n))
+        at = nxt
     return out
 
 
-def _signed(x: int, bits: int = 64) -> int:
-    return x - (1 << bits) if x >> bits - 1 else x
+def _newlines(text: str) -> Iterator[int]:
+    k = text.find("\n")
+    while k >= 0:
+        yield k
+        k = text.find("\n", k + 1)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def spaced(text: str) -> tuple[list[bytes], list[int], list[int]]:
-    """The normalised words of a text, and where each begins and ends."""
-    found = list(re.finditer(r"\S+", text))
-    return [m[0].lower().encode("utf-8", "replace") for m in found], [m.start() for m in found], [m.end() for m in found]
+def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
 
 
-def unit_table(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each unit of each document with an id.  ``version`` tells apart rows of one id with different texts.
+def _lists(sizes: list[int], **columns) -> pa.ListArray:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    values = [pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)) for kind, parts in columns.values()]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(values, names=list(columns)))
 
-    ``before`` and ``after`` are hashes of a short unit with half the words that it lacks to ``min_words``, on one side.
+
+def unit_table(df: DataFrame, *, min_words: int = MIN_WORDS, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The units of each document with an id, a row for a document: its lines, and the marks of its runs of words.
+
+    ``version``, a hash of the text, tells apart rows of one id with different texts.
     """
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
 
     def run(batches):
-        from xxhash import xxh32_intdigest, xxh64_intdigest
-
-        for batch in slices(batches):
-            columns: list[list] = [[] for _ in range(10)]
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                version, text = _signed(xxh64_intdigest(raw)), raw.decode("utf-8", "replace")
-                tokens, starts, _ = spaced(text)
-                for place, (start, stop, n, data) in enumerate(units(text)):
-                    sides = [None, None]
-                    if n < min_words:
-                        half, a, z = (min_words - n + 1) // 2, bisect_right(starts, start) - 1, bisect_left(starts, stop)
-                        if a >= half:
-                            sides[0] = _signed(xxh64_intdigest(b" ".join(tokens[a - half : a]) + b"\n" + data, 2))
-                        if z + half <= len(tokens):
-                            sides[1] = _signed(xxh64_intdigest(data + b"\n" + b" ".join(tokens[z : z + half]), 3))
-                    for column, value in zip(columns, (doc_id, version, place, start, stop, n, _signed(xxh64_intdigest(data)), _signed(xxh32_intdigest(data), 32), *sides)):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "version", "place", "start", "stop", "n_words", "digest", "check", "before", "after"])
-
-    return docs.mapInArrow(run, UNIT)
-
-
-def _windows(docs: DataFrame, plans: DataFrame, min_words: int) -> DataFrame:
-    """A row for each run of ``min_words`` words at a unit of its document's plan, or in the units beside: its hash, and what it would remove."""
-    joined = docs.join(F.broadcast(plans) if plans.count() <= BROADCAST_PLANS else plans, "doc_id").select("doc_id", "text", "version", "near", "taken")
+        from xxhash import xxh64_intdigest
+
+        i32, i64 = np.int32, np.int64
+        for batch in slices(batches, 64):
+            ids, raws = batch.column(0), batch.column(1).to_pylist()
+            versions, words, lines, marks = [], [], [], []
+            for raw in raws:
+                text = raw.decode("utf-8", "replace")
+                own = Words(text)
+                found = lines_of(text, unit)
+                versions.append(_signed(xxh64_intdigest(raw)))
+                words.append(own.n)
+                at = np.array(found, i64).reshape(-1, 3)
+                hi = np.cumsum(at[:, 2])
+                lo = hi - at[:, 2]
+                lines.append((np.arange(len(at)), lo, hi, at[:, 0], at[:, 1], own.digests(lo, hi, 0), own.digests(lo, hi, 1)))
+                marks.append(own.marks(min_words))
+            names = ("place", "lo", "hi", "start", "stop", "digest", "check")
+            made = {n: (i64 if n in ("digest", "check") else i32, [x[k] for x in lines]) for k, n in enumerate(names)}
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(versions, pa.int64()), pa.array(words, pa.int32()), _lists([len(x[0]) for x in lines], **made), _lists([len(x[0]) for x in marks], at=(i32, [x[0] for x in marks]), mark=(i64, [x[1] for x in marks]))],
+                names=["doc_id", "version", "n_words", "lines", "marks"],
+            )
+
+    return _documents(df, id_col, text_col).mapInArrow(run, UNITS)
+
+
+def _units(df: DataFrame, min_words: int, unit: str, id_col: str, text_col: str) -> DataFrame:
+    """The unit table, written; rows alike in id and text are one document."""
+    every = unit_table(df, min_words=min_words, unit=unit, id_col=id_col, text_col=text_col)
+    repeat = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
+    return written(every.dropDuplicates(["doc_id", "version"]) if repeat else every, "units")
+
+
+def _later(units: DataFrame) -> DataFrame:
+    """The lines that stand earlier, with ``first``: the rank (doc_id, version, place) of the earliest."""
+    lines = units.select("doc_id", "version", F.inline("lines"))
+    rank = F.struct("doc_id", "version", "place")
+    # Written, so that the join deals both of its sides anew and the rows of a very common line can be split among tasks.
+    groups = written(lines.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("digest", "check", "first"), "line-groups")
+    return lines.join(groups, ["digest", "check"]).where(rank != F.col("first"))
+
+
+def repeated_lines(df: DataFrame, *, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, version, place, start, end, n_words, first_doc_id, first_place of every line (or paragraph) that stands earlier.
+
+    Lines of any length: each later occurrence has a row.  Ranks, offsets and rows without an id as in ``repeated_spans``.
+    """
+    found = _later(_units(df, MIN_WORDS, unit, id_col, text_col))
+    return found.select("doc_id", "version", "place", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("end"), (F.col("hi") - F.col("lo")).cast("bigint").alias("n_words"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"))
+
+
+def _chains(later: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, version, lo, hi, start, stop, first_doc_id) of chains of repeated lines, in words and in characters."""
+    diagonal = ["doc_id", "version", "first_doc_id", "first_version", "shift"]
+    placed = later.select("doc_id", "version", "place", "lo", "hi", "start", "stop", F.col("first.doc_id").alias("first_doc_id"), F.col("first.version").alias("first_version"), (F.col("place") - F.col("first.place")).alias("shift"))
+    island = F.col("place") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("place"))
+    joined = placed.withColumn("island", island).groupBy(*diagonal, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return joined.where(F.col("hi") - F.col("lo") >= min_words).select("doc_id", "version", "lo", "hi", "start", "stop", "first_doc_id")
+
+
+def _runs(docs: DataFrame, plans: DataFrame, min_words: int) -> DataFrame:
+    """A row for each run of ``min_words`` words around a mark of its document's plan, but for those inside a chain."""
+    few = plans.agg(F.count(F.lit(1)), F.max(F.size("near") + F.size("taken"))).first()
+    small = few[0] <= BROADCAST_PLANS and (few[1] or 0) <= PLAN_MARKS
+    joined = docs.join(F.broadcast(plans) if small else plans, "doc_id").select("doc_id", "text", "version", "near", "taken")
+    back = min_words - (min_words + 1) // 2
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        names = [c.split()[0] for c in WINDOW.split(", ")]
-        schema = pa.schema([(n, pa.int64() if n in ("key", "doc_id", "version") else pa.bool_() if n == "asked" else pa.int32()) for n in names])
         for batch in slices(batches, 32):
-            out = []
+            parts = []
             for row in batch.to_pylist():
                 if _signed(xxh64_intdigest(row["text"])) != row["version"]:
                     continue
                 text = row["text"].decode("utf-8", "replace")
-                tokens, starts, stops = spaced(text)
-                every = units(text)
-                begins = [u[0] for u in every]
-                taken = [(bisect_right(starts, t["start"]) - 1, bisect_left(starts, t["end"])) for t in row["taken"] or ()]
-                asked: dict[int, bool] = {}
-                for u in row["near"]:
-                    a, z = bisect_right(starts, u["start"]) - 1, bisect_left(starts, u["stop"])
-                    # The units beside it may belong to the passage in part, as far as they go.
-                    k = bisect_left(begins, u["start"])
-                    low = bisect_right(starts, every[k - 1][0]) - 1 if k else a
-                    high = bisect_left(starts, every[k + 1][1]) if k + 1 < len(every) else z
-                    for at in range(max(0, min(low, z - min_words)), min(max(a, high - min_words), len(tokens) - min_words) + 1):
-                        asked[at] = asked.get(at, False) or u["asked"]
-                for at, own in asked.items():
-                    # What a longer span of whole units removes already is not removed twice.
-                    lo = max([at, *[t for s, t in taken if s <= at < t]])
-                    hi = min([at + min_words, *[s for s, t in taken if s < at + min_words <= t]])
-                    own = own and lo < hi
-                    key = _signed(xxh64_intdigest(b" ".join(tokens[at : at + min_words]), 4))
-                    out.append(dict(zip(names, (key, row["doc_id"], row["version"], at, own, lo, hi, starts[lo] if own else 0, stops[hi - 1] if own else 0))))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return joined.mapInArrow(run, WINDOW)
-
-
-def _set_in(df: DataFrame, found: DataFrame, short: DataFrame, long: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """The rows of passages around repeated units of ``short`` spans, where the words around them are repeated too."""
-    wanted = written(short.select("digest", "check").distinct(), "short-digests")
-    place = ["doc_id", "version", "place"]
-    near = written(found.join(wanted, ["digest", "check"], "left_semi").select(*place, "start", "stop", "before", "after"), "short-units")
-    sides = near.select(F.explode(F.array("before", "after")).alias("side")).where("side is not null")
-    common = written(sides.groupBy("side").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side"), "common-sides")
-    left = near.where("before is not null").join(common.withColumnRenamed("side", "before"), "before", "left_semi")
-    right = near.where("after is not null").join(common.withColumnRenamed("side", "after"), "after", "left_semi")
-    kept = left.select(*place, "start", "stop").unionByName(right.select(*place, "start", "stop")).distinct()
-    marked = kept.join(short.select(*place, F.lit(True).alias("asked")), place, "left").select("doc_id", "version", "start", "stop", F.coalesce("asked", F.lit(False)).alias("asked"))
-    plans = marked.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "stop", "asked")).alias("near"))
-    taken = long.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
-    plans = written(plans.join(taken, ["doc_id", "version"], "left"), "window-plans")
-    docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    windows = written(_windows(docs, plans, min_words), "windows")
+                own = Words(text)
+                asked = np.zeros(own.n - min_words + 1, bool)
+                for at in row["near"]:
+                    asked[max(0, at - back) : at + 1] = True
+                for t in row["taken"]:
+                    asked[t["lo"] : max(t["lo"], t["hi"] - min_words + 1)] = False
+                lo = np.flatnonzero(asked)
+                edges = np.array([m.span() for m in re.finditer(r"\S+", text)], np.int32).reshape(-1, 2)
+                parts.append((own.digests(lo, lo + min_words, 0), own.digests(lo, lo + min_words, 1), np.full(len(lo), row["doc_id"]), np.full(len(lo), row["version"]), lo, edges[lo, 0], edges[lo + min_words - 1, 1]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]), pa.int64()).cast(kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in RUN.split(", ")])
+
+    return joined.mapInArrow(run, RUN)
+
+
+def _set_in(df: DataFrame, units: DataFrame, chains: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, lo, hi, start, stop, first_doc_id) of the runs of ``min_words`` words that stand earlier and are in no chain."""
+    taken = chains.groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("taken"))
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    known = units.select("doc_id", "version", "n_words", "marks").join(taken, ["doc_id", "version"], "left").withColumn("taken", F.coalesce("taken", none))
+    half = (min_words + 1) // 2
+
+    def outside(m):
+        # All runs that hold the mark are in a chain: none of them is the earliest, and none is asked about.
+        low, high = F.greatest(m["at"] - (min_words - half), F.lit(0)), F.least(m["at"] + min_words, F.col("n_words"))
+        return ~F.exists("taken", lambda t: (t["lo"] <= low) & (t["hi"] >= high))
+
+    marks = written(known.select("doc_id", "version", "taken", F.filter("marks", outside).alias("marks")).where(F.size("marks") > 0), "marks")
+    flat = marks.select("doc_id", "version", F.inline("marks"))
+    common = written(flat.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "common-marks")
+    near = flat.join(common, "mark").groupBy("doc_id", "version").agg(F.collect_list("at").alias("near"))
+    plans = written(near.join(marks.select("doc_id", "version", "taken"), ["doc_id", "version"]), "run-plans")
+    # Rows alike in id and text give the same runs under the same rank, which changes nothing.
+    runs = written(_runs(_documents(df, id_col, text_col), plans, min_words), "runs")
     rank = F.struct("doc_id", "version", "at")
-    firsts = written(windows.groupBy("key").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("key", "first"), "window-groups")
-    # A window doesn't go for one that it overlaps, of which a part would go with it.
+    firsts = written(runs.groupBy("key", "check").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").select("key", "check", "first"), "run-groups")
+    # A run doesn't go for one that it overlaps, of which a part would go with it.
     apart = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("version") != F.col("first.version")) | (F.col("at") >= F.col("first.at") + min_words)
-    hits = windows.where("asked").join(firsts, "key").where(apart).groupBy("doc_id", "version", "at").agg(*[F.first(c).alias(c) for c in ("lo", "hi", "start", "stop")], F.min("first.doc_id").alias("first_doc_id"))
-    order = Window.partitionBy("doc_id", "version").orderBy("at")
-    fresh = F.when(F.col("lo") <= F.lag("hi").over(order), 0).otherwise(1)
-    islands = hits.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
-    spans = islands.groupBy("doc_id", "version", "island").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("end"), (F.max("hi") - F.min("lo")).cast("bigint").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
-    inner = short.select("doc_id", "version", F.col("start").alias("unit_start"), F.col("stop").alias("unit_stop"))
-    held = spans.join(inner, ["doc_id", "version"]).where("unit_start >= start and unit_stop <= end")
-    return held.groupBy("doc_id", "version", "start", "end", "n_words", "first_doc_id").agg(F.count(F.lit(1)).alias("n_units"))
+    return runs.join(firsts, ["key", "check"]).where(apart).select("doc_id", "version", F.col("at").alias("lo"), (F.col("at") + min_words).alias("hi"), "start", "stop", F.col("first.doc_id").alias("first_doc_id"))
 
 
 def repeated_spans(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, version, start, end, n_words, n_units, first_doc_id of every passage that stands earlier in the corpus.
+    """doc_id, version, start, end, n_words, first_doc_id of every passage that stands earlier in the corpus.
 
-    A passage is ``min_words`` words or more of adjacent repeated units, or else of words in a row that hold a
-    repeated unit; ``n_units`` are its whole repeated units.  Offsets are code points, ends exclusive;
-    ``first_doc_id`` is the lowest document that has one of the passage's units, or of its runs of ``min_words`` words.  Rows are ranked by id, then by version (a hash of the text, for rows that share an id), then by place;
-    rows alike in id and text are one document.  Rows without an id and null or empty texts have no units.
+    A passage is made of runs of ``min_words`` words each of which stands earlier, as they are but for letter case and
+    white space: in a row of lower rank, or further ahead in the same text without overlapping.  Runs that touch or
+    overlap are one passage.  Offsets are code points, ends exclusive; ``first_doc_id`` is the lowest document that has one
+    of the runs (or lines) first.  Rows are ranked by id, then by version (a hash of the text, for rows that share an id);
+    rows alike in id and text are one document.  Rows without an id and null or empty texts have no passages.
     """
-    every = unit_table(df, min_words=min_words, id_col=id_col, text_col=text_col)
-    found = written(every.distinct() if _ids_repeat(df, id_col) else every, "units")
-    rank = F.struct("doc_id", "version", "place")
-    # Written, so that the join deals both of its sides anew and the rows of a very common unit can be split among tasks.
-    groups = written(found.groupBy("digest", "check").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("digest", "check", "first"), "unit-groups")
-    later = found.join(groups, ["digest", "check"]).where(rank != F.col("first")).select("doc_id", "version", "place", "start", "stop", "n_words", "digest", "check", F.col("first.doc_id").alias("first_doc_id"))
-    island = F.col("place") - F.row_number().over(Window.partitionBy("doc_id", "version").orderBy("place"))
-    words_in_all = F.sum("n_words").over(Window.partitionBy("doc_id", "version", "island"))
-    placed = written(later.withColumn("island", island).withColumn("in_all", words_in_all), "repeated-units")
-    runs = placed.where(F.col("in_all") >= min_words).groupBy("doc_id", "version", "island").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("end"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_units"), F.min("first_doc_id").alias("first_doc_id"))
-    long = runs.drop("island")
-    short = placed.where(F.col("in_all") < min_words)
-    return long.unionByName(_set_in(df, found, short, long, min_words, id_col, text_col).select(long.columns))
-
-
-def _ids_repeat(df: DataFrame, id_col: str) -> bool:
-    return bool(df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1))
+    units = _units(df, min_words, "line", id_col, text_col)
+    chains = written(_chains(_later(units), min_words), "line-chains")
+    every = chains.unionByName(_set_in(df, units, chains, min_words, id_col, text_col))
+    order = Window.partitionBy("doc_id", "version").orderBy("lo", "hi", "first_doc_id")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = every.withColumn("fresh", F.when(F.col("lo") <= reach, 0).otherwise(1))
+    islands = fresh.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = islands.groupBy("doc_id", "version", "island").agg(F.min("start").cast("bigint").alias("start"), F.max("stop").cast("bigint").alias("end"), (F.max("hi") - F.min("lo")).cast("bigint").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
+    return spans.select(*SPAN)
 
 
-def without_repeats(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans: DataFrame | None = None) -> DataFrame:
     """The input's rows and columns with repeated passages cut from the text, and ``removed``: their [start, end] in the original.
 
-    No row goes; a text of repeats alone is empty.  Rows without an id, and null texts, stay as they are.
+    ``spans`` (doc_id, version, start, end) are the passages to cut, such as those of ``repeated_lines``; by default those of
+    ``repeated_spans``.  No row goes; a text of repeats alone is empty.  Rows without an id, and null texts, stay as they are.
     """
-    spans = repeated_spans(df, min_words=min_words, id_col=id_col, text_col=text_col)
+    spans = repeated_spans(df, min_words=min_words, id_col=id_col, text_col=text_col) if spans is None else spans
     cuts = spans.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.array_sort(F.collect_list(F.array("start", "end"))).alias("__cuts"))
     rows = df.withColumn("__own", _version(F.col(text_col)))
     joined = rows.join(cuts, (F.col(id_col) == F.col("__id")) & (F.col("__own") == F.col("__version")), "left")
@@ -215,7 +318,6 @@ def _version(text):
         import pandas as pd
         from xxhash import xxh64_intdigest
 
-        values = [None if t is None else xxh64_intdigest(t) for t in texts]
-        return pd.Series([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], dtype="Int64")
+        return pd.Series([None if t is None else _signed(xxh64_intdigest(t)) for t in texts], dtype="Int64")
 
     return hashed(text.cast("binary"))
