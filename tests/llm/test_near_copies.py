@@ -35,3 +35,70 @@ def test_pairs_that_share_one_anchor_are_found_in_large_buckets(spark, monkeypat
             assert len(np.intersect1d(a, b)) >= 0.8 * len(a)
             texts += [" ".join(whole), " ".join(part)]
     assert linked(spark, texts, "one-anchor") == {k: k - k % 2 for k in range(len(texts))}
+
+
+def jaccard_groups(texts):
+    """Groups by brute force: every pair's similarity over five-word shingles, spelled out."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    labels = list(range(len(texts)))
+    pairs = []
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((j, i))
+                a, b = labels[i], labels[j]
+                labels = [min(a, b) if x in (a, b) else x for x in labels]
+    return labels, pairs
+
+
+def corpus(seed, n, shared):
+    """Texts and edited copies of them at similarities around 0.8; ``shared`` is a line that all have."""
+    r = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.choice([30, 80, 200, 400]))] + shared
+        texts.append(base)
+        for _ in range(r.randrange(4)):
+            copy = list(r.choice(texts[-2:]))
+            for _ in range(max(1, round(len(copy) * r.uniform(0.002, 0.03)))):
+                copy[r.randrange(len(copy))] = f"w{r.randrange(10**6)}"
+            texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+def recall(got, pairs):
+    return sum(got[a] == got[b] for a, b in pairs) / len(pairs)
+
+
+def test_links_at_the_threshold_against_brute_force(spark):
+    texts = corpus(21, 150, [])
+    labels, pairs = jaccard_groups(texts)
+    got = linked(spark, texts, "threshold")
+    assert len(pairs) > 100 and recall(got, pairs) >= 0.995
+    assert all(labels[i] == labels[got[i]] for i in range(len(texts)))
+
+
+def test_links_in_large_buckets_against_brute_force(spark, monkeypatch):
+    """A line that every text has makes buckets of all of them; they are cut, and dealt to blocks."""
+    r = random.Random(1)
+    line = [f"s{r.randrange(10**6)}" for _ in range(25)]
+    texts = corpus(22, 150, line)
+    labels, pairs = jaccard_groups(texts)
+    for docs, block in ((1000, 4000), (20, 4000), (20, 30)):
+        monkeypatch.setattr(near_copies, "BUCKET_DOCS", docs)
+        monkeypatch.setattr(near_copies, "BLOCK_DOCS", block)
+        got = linked(spark, texts, f"large-{docs}-{block}")
+        assert len(pairs) > 100 and recall(got, pairs) >= 0.995
+        assert all(labels[i] == labels[got[i]] for i in range(len(texts)))
+
+
+def test_documents_of_the_table_against_brute_force(spark):
+    rows = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()]
+    texts = [t or "" for _, t in rows]
+    labels, pairs = jaccard_groups(texts)
+    got = linked(spark, texts, "table")
+    assert [got[i] for i in range(len(texts))] == labels and pairs

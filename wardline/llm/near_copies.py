@@ -2,15 +2,16 @@
 
 At a Jaccard similarity of 0.8 over five-word shingles, fingerprints of 64 bits differ by ten bits or so, too
 many for buckets of equal bit blocks.  So documents meet in buckets of sampled shingles instead: each document
-goes to the buckets of its ``ANCHORS`` smallest shingle hashes, and of two documents at 0.8 all but a few in ten
-thousand share one.  In a bucket the binary trie self-join with a large error budget finds the pairs worth a
-check, and the exact similarity of their shingle sets decides.  Fingerprints are voted over the distinct shingles,
-the same sets, so that lines repeated in one of two texts don't part them.
-
-Copies count once.  A bucket of too many documents (a line that many documents share) is cut by second anchors:
-its documents meet where they share another of their ``CUT_ANCHORS`` smallest hashes, so many that the cut loses no
-more than the buckets do.  What is still too large is dealt into blocks, each pair of blocks a
-task, so no pair is lost and no task grows.  Only a spanning forest of a bucket's links leaves it.
+goes to the buckets of its ``ANCHORS`` smallest shingle hashes, and of two documents at 0.8 all but seven in a hundred
+thousand share one.  In a bucket the binary trie self-join with an error budget of five deviations above the mean finds
+the pairs worth a check (all but one in a million of those at 0.8), and the similarity of their shingle sets decides.
+Fingerprints are voted over the distinct shingles, the same sets, so that lines repeated in one of two texts don't part them.
+
+Copies count once, and so do buckets of the same documents: near copies share most of their anchors, and meet in
+one bucket for all of them.  A bucket of too many documents (a line that many documents share) is cut by second
+anchors: its documents meet where they share another of their ``CUT_ANCHORS`` smallest hashes, so many that of pairs at
+0.8 under one in 10**9 doesn't.  What is still too large is dealt into blocks, each pair of blocks a task, so no pair is lost
+and no task grows.  Only a spanning forest of a bucket's links leaves it.
 """
 
 from __future__ import annotations
@@ -34,11 +35,11 @@ ANCHORS, BUCKET_DOCS, BLOCK_DOCS = 6, 1000, 4000
 RUN = 1024
 #: The most that a bucket's table of shared shingles may take.
 TABLE_BYTES = 64 << 20
-#: So many (id, keys) rows are broadcast at most, to fetch the texts of documents that share a bucket.
-BROADCAST_ROWS = 200_000
+#: Documents' buckets are broadcast, to fetch their texts, while there are so many bucket rows (of 24 bytes) in all at most.
+BROADCAST_BUCKETS = 500_000
 
 
-def error_budget(similarity: float, bits: int = 64, sigmas: float = 2.6) -> int:
+def error_budget(similarity: float, bits: int = 64, sigmas: float = 5.0) -> int:
     """Bits by which fingerprints of texts at a Jaccard similarity may differ: the mean, and some deviations more."""
     flip = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
     return math.ceil(bits * flip + sigmas * math.sqrt(bits * flip * (1 - flip)))
@@ -63,14 +64,20 @@ def sketches(df: DataFrame, size: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id bigint, digest bigint, fp bigint, keys array<bigint>")
 
 
-def _large(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+def _met(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, n): the buckets of two documents or more; of buckets of the same documents, one.
+
+    Buckets are the same if their sizes and two 64-bit hashes of their members are.
+    """
+    of = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(1))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(h).alias(f"x{k}") for k, h in enumerate(of)]).where("n > 1")
+    return written(sizes.groupBy("n", "x0", "x1").agg(F.min(F.struct(*keys)).alias("k")).select("k.*", "n"), name)
 
 
 def bucket_rows(distinct: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, b1, b2): the buckets, of two documents or more, in which distinct documents (doc_id, keys) meet."""
     rows = distinct.select("doc_id", "keys", F.explode(F.slice("keys", 1, ANCHORS)).alias("k1"))
-    sizes = written(_large(rows, ["k1"], 1), "bucket-sizes")
+    sizes = _met(rows, ["k1"], "bucket-sizes")
     shared = rows.join(sizes, "k1")
     zero = F.lit(0).cast("bigint")
     small = shared.where(F.col("n") <= BUCKET_DOCS).select("doc_id", "k1", zero.alias("k2"), F.lit(0).alias("b1"), F.lit(0).alias("b2"))
@@ -80,7 +87,7 @@ def bucket_rows(distinct: DataFrame) -> DataFrame:
     both = shared.where(F.col("n") > BUCKET_DOCS).select("doc_id", "k1", F.explode("keys").alias("k2")).where("k1 <> k2")
     both = both.select("doc_id", F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).distinct()
     # A document of one shingle has no second anchor, and copies counted once leave no other like it.
-    cuts = written(_large(both, ["k1", "k2"], 1), "bucket-cuts")
+    cuts = _met(both, ["k1", "k2"], "bucket-cuts")
     met = both.join(cuts, ["k1", "k2"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = met.withColumn("own", own).select("doc_id", "k1", "k2", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -88,9 +95,10 @@ def bucket_rows(distinct: DataFrame) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Bucket rows with each document's fingerprint and shingle set (ascending 32-bit hashes)."""
+    """Bucket rows with each document's fingerprint and shingle set (ascending 64-bit hashes)."""
     owned = written(rows.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2", "b1", "b2")).alias("buckets")), "bucket-owners")
-    joined = docs.join(F.broadcast(owned) if owned.count() <= BROADCAST_ROWS else owned, "doc_id").select("doc_id", "text", "buckets")
+    n = owned.agg(F.sum(F.size("buckets"))).first()[0] or 0
+    joined = docs.join(F.broadcast(owned) if n <= BROADCAST_BUCKETS else owned, "doc_id").select("doc_id", "text", "buckets")
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("b1", pa.int32()), ("b2", pa.int32()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
@@ -98,7 +106,7 @@ def _with_sets(docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
             out = []
             for row in batch.to_pylist():
                 hashes = np.unique(shingle_hashes(words(row["text"]), size))
-                own = {"doc_id": row["doc_id"], "fp": int(np.array([fingerprint(hashes)], np.uint64).view(np.int64)[0]), "shingles": np.unique(hashes.astype(np.uint32)).tobytes()}
+                own = {"doc_id": row["doc_id"], "fp": int(np.array([fingerprint(hashes)], np.uint64).view(np.int64)[0]), "shingles": hashes.tobytes()}
                 out += [b | own for b in row["buckets"]]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
@@ -115,7 +123,7 @@ class _Bucket:
         """(id, smallest id of its group) of the documents linked to another."""
         order = np.argsort(np.array(self.prints, np.uint64), kind="stable")
         prints = np.array(self.prints, np.uint64)[order]
-        sets = [np.frombuffer(self.sets[i], np.uint32) for i in order]
+        sets = [np.frombuffer(self.sets[i], np.uint64) for i in order]
         ids = [self.ids[i] for i in order]
         sizes = np.array([len(s) for s in sets])
         shared = _shared(sets)
@@ -146,7 +154,7 @@ def _shared(sets: list[np.ndarray]):
     The elements that several sets have are numbered, and a set is a row of bits; where that table would pass
     TABLE_BYTES, pairs are counted one by one in the sorted sets.
     """
-    every = np.concatenate([*sets, np.zeros(0, np.uint32)])
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
     values, place, count = np.unique(every, return_inverse=True, return_counts=True)
     number = np.cumsum(count > 1) - 1
     width = (int((count > 1).sum()) + 63) // 64
