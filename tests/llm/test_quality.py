@@ -72,3 +72,10 @@ def test_hard_rows(spark, docs, rows):
     assert quality_cnn.score(docs.limit(0), model).collect() == []
     again = quality_cnn.fit(docs, labels)
     assert all(np.array_equal(a, b) for a, b in zip(model.weights(), again.weights()))
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(7, f"text number {k}") for k in range(300)] + [(k, "own") for k in range(100, 110)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), *[(k, k % 2) for k in range(100, 110)]], "doc_id bigint, quality int")
+    one, two = (quality_cnn.training_sample(d, labels, lambda i: i > 0, rows=20) for d in (docs, docs.repartition(7)))
+    assert len(one) == 20 and one == two

@@ -134,7 +134,7 @@ def test_near_copies_against_brute_force(spark, crowd, monkeypatch, small):
     if small:
         monkeypatch.setattr(near_copies, "BUCKET_DOCS", 20)
         monkeypatch.setattr(near_copies, "BLOCK_DOCS", 15)
-        monkeypatch.setattr(near_copies, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(near_copies, "BROADCAST_BUCKETS", 0)
         monkeypatch.setattr(near_copies, "TABLE_BYTES", 0)
     sets = {i: frozenset(simhash.shingle_hashes(simhash.words((t or "").encode()), 5).tolist()) for i, t in crowd}
     want = groups(sets, lambda a, b: (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)

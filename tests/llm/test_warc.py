@@ -74,6 +74,30 @@ def test_dictionary_and_frames():
         list(warc.frames(io.BytesIO(data[8:])))
 
 
+def test_a_dictionary_frame_may_be_compressed():
+    samples = [f"<html><body><p>paragraph number {i} of some page</p>{i * i}</body></html>".encode() * 3 for i in range(300)]
+    dictionary = zstandard.train_dictionary(2048, samples).as_bytes()
+    records = archive(dictionary)[8 + len(dictionary) :]
+    packed = zstandard.ZstdCompressor().compress(dictionary)
+    data = struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed + records
+    assert [warc.parse(r)["payload"] for r in warc.frames(io.BytesIO(data))] == [b"one" * 50, b"", b"two" * 9000]
+    with pytest.raises(warc.ArchiveError):
+        list(warc.frames(io.BytesIO(data[:20] + b"xx" + data[22:])))
+
+
+def test_a_revisit_without_its_response_is_seen(spark, pages):
+    records = warc.round_trip(pages)
+    assert warc.unresolved(records).count() == 0
+    lost = records.where("page_id <> 13 or page_id is null")
+    assert [r["page_id"] for r in warc.unresolved(lost).collect()] == [12]
+
+
+def test_groups_beyond_the_broadcast_bound_are_the_same(pages, monkeypatch):
+    want = sorted(map(repr, warc.round_trip(pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    assert sorted(map(repr, warc.round_trip(pages).collect())) == want
+
+
 def test_damage_is_seen():
     body = b"payload"
     good = warc.record(1, "u", body, hashlib.sha1(body).hexdigest(), len(body), None, False)

@@ -164,7 +164,10 @@ def train(samples: list[tuple[list[bytes], int]], seed: int = 7) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, allowed, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> list[tuple[list[bytes], int]]:
-    """At most ``rows`` labelled documents (lowest hash of the id first) for which ``allowed`` holds, as chunk samples."""
+    """At most ``rows`` labelled documents (lowest hash of the id first) for which ``allowed`` holds, as chunk samples.
+
+    Rows that share an id are documents of their own, each with the id's labels.
+    """
     picked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & allowed(F.col("_id"))).orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
     # At most ``rows`` rows of two numbers: the broadcast's size is bounded.
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(picked), "_id")
@@ -174,7 +177,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, allowed, *, id_col: str
             ids, texts, marks = (batch.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([chunks_of(t or b"", SAMPLE_CHUNKS, len(t or b"")) for t in texts], pa.list_(pa.binary())), pa.array(marks, pa.int32())], names=["id", "chunks", "label"])
 
-    found = joined.select(F.col("_id").cast("string"), "_text", "_label").mapInArrow(cut, "id string, chunks array<binary>, label int").toArrow()
+    # Where ids repeat, more rows than were picked may join; the sample stays as small as it is said to be.
+    made = joined.select(F.col("_id").cast("string"), "_text", "_label").mapInArrow(cut, "id string, chunks array<binary>, label int")
+    found = made.orderBy(F.xxhash64("id"), F.xxhash64("chunks"), "id", "label").limit(rows).toArrow()
     rows_ = zip(found["id"].to_pylist(), found["chunks"].to_pylist(), found["label"].to_pylist())
     return [(chunks, label) for _, chunks, label in sorted(rows_, key=lambda x: (x[0] or "", x[1], x[2]))]
 

@@ -117,18 +117,14 @@ def buckets(prints: DataFrame, budget: int, limit: int = BUCKET_ROWS) -> DataFra
     now = prints.select("fp", F.explode(keyed(list(range(len(levels[0]))), [m for m, _ in levels[0]])).alias("k")).select("fp", "k.mask", "k.value")
     out = None
     for depth, masks in enumerate(levels):
-        if depth + 1 == LEVELS:
-            part = now
-        else:
-            large = now.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("mask", "value")
-            if not large.take(1):
-                part = now
-            else:
-                large = written(large, "large-buckets")
-                part = now.join(large, ["mask", "value"], "left_anti")
+        last, part = depth + 1 == LEVELS, now
+        if not last:
+            large = written(now.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("mask", "value"), "large-buckets")
+            last = not large.take(1)
+            part = now if last else now.join(large, ["mask", "value"], "left_anti")
         part = part.select(F.lit(depth).alias("level"), "mask", "value", "fp")
         out = part if out is None else out.unionByName(part)
-        if depth + 1 == LEVELS or part.columns and not large.take(1):
+        if last:
             break
         hot = now.join(large, ["mask", "value"], "left_semi")
         nxt = [m for m, _ in levels[depth + 1]]

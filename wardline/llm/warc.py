@@ -23,6 +23,10 @@ from .common import filesystem, scratch, slices, written
 
 #: Magic number of the skippable frame that holds the dictionary (the WARC/zstd convention).
 DICTIONARY_MAGIC = 0x184D2A5D
+#: How a compressed frame begins.
+FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
+#: Groups of equal payloads are broadcast while there are so many at most (of about 100 bytes); beyond, they are joined by a shuffle.
+BROADCAST_GROUPS = 200_000
 #: The dictionary is trained on so many payloads at most, each cut to so many bytes; records are never cut.
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 800, 8192, 32 << 10
 #: An archive is closed at the record that brings it to so many bytes.
@@ -129,6 +133,12 @@ def frames(source, chunk: int = 1 << 15) -> Iterator[bytes]:
     dictionary = source.read(size)
     if len(dictionary) != size:
         raise ArchiveError("the dictionary is cut off")
+    if dictionary[:4] == FRAME_MAGIC:
+        # The convention lets the dictionary itself be one compressed frame.
+        try:
+            dictionary = zstandard.ZstdDecompressor().decompressobj().decompress(dictionary)
+        except zstandard.ZstdError as e:
+            raise ArchiveError(f"a damaged dictionary: {e}") from e
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
     data = source.read(chunk)
     while data:
@@ -145,11 +155,18 @@ def frames(source, chunk: int = 1 << 15) -> Iterator[bytes]:
         data = data or source.read(chunk)
 
 
-def train_dictionary(df: DataFrame, column: str) -> bytes:
-    """A dictionary from a bounded sample of payloads (SAMPLE_ROWS x SAMPLE_BYTES); empty where there are too few."""
+def train_dictionary(df: DataFrame) -> bytes:
+    """A dictionary from a bounded sample (SAMPLE_ROWS x SAMPLE_BYTES) of (page_id, payload): the pages of the lowest ids.
+
+    It is the same in every run; empty where there are too few payloads.
+    """
     import zstandard
 
-    sample = [bytes(r[0]) for r in df.where(F.length(column) > 0).select(F.substring(F.col(column), 1, SAMPLE_BYTES)).limit(SAMPLE_ROWS).collect()]
+    filled = df.where(F.octet_length("payload") > 0)
+    # The ids first, a narrow scan; the filter on them then spares the payloads of most row groups where files are ordered.
+    top = df.select("page_id").orderBy(F.col("page_id").asc_nulls_last()).limit(SAMPLE_ROWS).agg(F.max("page_id")).first()[0]
+    lowest = filled if top is None else filled.where((F.col("page_id") <= top) | F.col("page_id").isNull())
+    sample = [bytes(r[1]) for r in lowest.select("page_id", F.substring("payload", 1, SAMPLE_BYTES).alias("head")).orderBy(F.col("page_id").asc_nulls_last(), "head").limit(SAMPLE_ROWS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes() if len(sample) >= 50 else b""
     except zstandard.ZstdError:
@@ -165,7 +182,9 @@ def classified(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha1("payload")})
     groups = rows.where(F.col("payload_bytes") >= dedup_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("payload_digest", "refers_to")
     # Only payloads with a copy are in ``groups``; a short payload's digest never is, as equal digests have equal lengths.
-    joined = rows.join(groups, "payload_digest", "left")
+    # Their digests meet the rows by a broadcast, so that payloads stay where they are; a shuffle moves them only if groups are very many.
+    groups = written(groups, "payload-groups")
+    joined = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "payload_digest", "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull(), F.lit(False))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -174,7 +193,7 @@ def write_archives(df: DataFrame, folder: str, **columns) -> DataFrame:
     """Write one record per row under ``folder``; returns the manifest (path, bytes, n_records) of committed archives."""
     spark = df.sparkSession
     rows = classified(df, **columns)
-    dictionary = spark.sparkContext.broadcast(train_dictionary(df.select(F.col(columns.get("html_col", "html")).cast("binary").alias("_payload")), "_payload"))
+    dictionary = spark.sparkContext.broadcast(train_dictionary(df.select(F.col(columns.get("id_col", "page_id")).cast("bigint").alias("page_id"), F.col(columns.get("html_col", "html")).cast("binary").alias("payload"))))
 
     def write(batches):
         fs, at = filesystem(folder)
@@ -232,6 +251,12 @@ def read_archives(spark: SparkSession, manifest: DataFrame, *, payload: bool = F
     return manifest.repartition(min(4096, max(1, manifest.count()))).mapInArrow(read, RECORD + (", payload binary" if payload else ""))
 
 
+def unresolved(records: DataFrame) -> DataFrame:
+    """The revisit records (as ``read_archives`` gives them) whose response of the same payload is in none of the archives."""
+    there = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest")
+    return records.where("record_type = 'revisit'").join(there, ["refers_to", "payload_digest"], "left_anti")
+
+
 def round_trip(df: DataFrame) -> DataFrame:
     """Write the pages' archives to the shared folder and read them back."""
     spark = df.sparkSession
