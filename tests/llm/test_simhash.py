@@ -166,4 +166,4 @@ def test_shared_elements_are_counted_either_way(monkeypatch):
 
 
 def test_error_budget():
-    assert near_copies.error_budget(1.0) == 0 and 15 <= near_copies.error_budget(0.8) <= 20
+    assert near_copies.error_budget(1.0) == 0 and 22 <= near_copies.error_budget(0.8) <= 26

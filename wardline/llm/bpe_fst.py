@@ -35,9 +35,10 @@ from .common import filesystem, slices
 from .units import FRONT_SPACE, Memo, literal, unit_keys
 
 #: Memoised text units of one worker.
-UNIT_MEMO = 300_000
-#: Memoised deterministic states of one worker; emptied when full.
-STATE_MEMO = 350_000
+UNIT_MEMO = 250_000
+#: Memoised deterministic states of one worker, and compatible pairs of tokens.  When full, further states are made for
+#: the moment only; after as many of those as RENEW times the bound, all start anew.
+STATE_MEMO, PAIR_MEMO, RENEW = 80_000, 150_000, 50
 #: A rank file beyond this is not a vocabulary to ship to every worker.
 MAX_RANK_FILE = 64 << 20
 
@@ -75,12 +76,8 @@ class Transducer:
 
     def _reset(self) -> None:
         self._states: dict[tuple, _State] = {}
-        self.start = self._state((((), -1, 0),), ())
-
-    def _state(self, hyps: tuple, final: tuple | None) -> _State:
-        if (state := self._states.get(hyps)) is None:
-            state = self._states[hyps] = _State(hyps, final)
-        return state
+        self._passing = 0
+        self.start = self._states.setdefault(hyps := (((), -1, 0),), _State(hyps, ()))
 
     def merges(self, piece: bytes) -> list[int]:
         """The definition: join the adjacent pair of lowest rank, leftmost first, until none is left."""
@@ -104,9 +101,9 @@ class Transducer:
         if left < 0:
             return True
         if (known := self._pairs.get((left, right))) is None:
-            if len(self._pairs) > 4 * STATE_MEMO:
-                self._pairs.clear()
-            known = self._pairs[left, right] = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            if len(self._pairs) < PAIR_MEMO:
+                self._pairs[left, right] = known
         return known
 
     def _advance(self, state: _State, byte: int) -> tuple[_State, tuple]:
@@ -132,9 +129,18 @@ class Transducer:
             common = common[:n]
         k = len(common)
         key = tuple((owed[k:], last, node) for owed, last, node in hyps)
-        if len(self._states) > STATE_MEMO:
-            self._reset()
-        step = state.step[byte] = (self._state(key, final[k:]), common)
+        if (to := self._states.get(key)) is None:
+            to = _State(key, final[k:])
+            if len(self._states) >= STATE_MEMO:
+                self._passing += 1
+                if self._passing > RENEW * STATE_MEMO:
+                    self._pairs.clear()
+                    self._reset()
+                return to, common
+            self._states[key] = to
+        step = to, common
+        if self._states.get(state.hyps) is state:
+            state.step[byte] = step
         return step
 
     def piece(self, piece: bytes) -> list[int]:
