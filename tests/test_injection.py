@@ -36,7 +36,7 @@ CLEAN = [
 
 def rules_of(spark, texts, custom=()):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    rows = df.select("i", injection.scanned_rule(F.col("t"), custom).alias("r")).collect()
+    rows = injection.with_rule(df, F.col("t"), custom, "r").select("i", "r").collect()
     return [r["r"] for r in sorted(rows)]
 
 
@@ -52,8 +52,8 @@ def test_rules_agree_with_a_plain_search(spark):
 
 def test_null_has_no_rule_and_reasons_name_the_pattern(spark):
     df = spark.createDataFrame([(None,), ("jailbreak",)], "t string")
-    rule = injection.scanned_rule(F.col("t"))
-    assert [tuple(r) for r in df.select(rule, injection.rule_reason(rule), injection.rule_category(rule)).collect()] == [(None, None, None), (17, "Matched pattern: 'jailbreak'", "jailbreak")]
+    rule = F.col("rule")
+    assert [tuple(r) for r in injection.with_rule(df, F.col("t")).select(rule, injection.rule_reason(rule), injection.rule_category(rule)).collect()] == [(None, None, None), (17, "Matched pattern: 'jailbreak'", "jailbreak")]
 
 
 def test_custom_patterns_follow_the_built_in_ones(spark):

@@ -147,3 +147,97 @@ def test_canary_blocks_an_output_and_agents_see_admitted_text(spark):
     policies = [PromptRules(use_canary=True, canary_salt="s")]
     out = {r["session_id"]: r for r in chain.run_batch(conversation(spark, rows), policies, lambda t: F.concat(t, F.lit(" "), injection.canary(F.lit("a"), "s"))).collect()}
     assert out["a"]["answer_code"] == "CANARY_TRIGGERED" and out["b"]["answer"] is None
+
+
+def test_a_chain_fails_closed(spark):
+    from wardline.plans.policies import Approval, ToolRules
+
+    rows = [("a", 1, "input", None, 0.0), ("a", 1, "output", "late", 0.0), ("b", 1, "tool", "x", 0.0), ("c", 1, "input", "fine", 0.0), ("c", 1, "output", None, 0.0)]
+    for policies in ([CostLimit(max_usd=0.0)], [RateLimit(per_minute=60), CostLimit()], [Audit(), CostLimit()], [PersonalData(), Audit()], [PromptRules(use_canary=True), Audit()], [Custom(on=("input", "output"))]):
+        got = {(r["session_id"], r["direction"]): r for r in chain.run_chain(conversation(spark, rows), policies).collect()}
+        assert len(got) == 5
+        assert (got["a", "input"]["allowed"], got["a", "input"]["reason_code"], got["a", "input"]["reached"]) == (False, "SHIELD_ERROR", None)
+        assert got["a", "output"]["allowed"] is None and got["a", "input"]["request_count"] == 0
+        assert (got["b", "tool"]["allowed"], got["b", "tool"]["blocked_by"]) == (False, "0:direction")
+        if policies[0] != CostLimit(max_usd=0.0) and "output" in policies[-1].directions:
+            assert (got["c", "input"]["allowed"], got["c", "output"]["allowed"], got["c", "output"]["reason_code"]) == (True, False, "SHIELD_ERROR")
+    for refused in (ToolRules(blocked=("delete_*",)), Approval(("pii_detected",))):
+        with pytest.raises(ValueError, match="run_tool_chain"):
+            chain.run_chain(conversation(spark, rows), [PromptRules(), refused])
+
+
+def test_checks_that_raise_block_their_row_alone(spark):
+    def check(text):
+        if "stop" in text:
+            return "told to"
+        return None if text.isascii() else 1 / 0
+
+    rows = [("a", 1, "input", "fine", 0.0), ("b", 1, "input", "stop", 0.0), ("c", 1, "input", "é", 0.0)]
+    for more in ([], [CostLimit()]):
+        out = {r["session_id"]: (r["allowed"], r["reason_code"], r["reason"]) for r in chain.run_chain(conversation(spark, rows), [Custom(check=check), *more]).collect()}
+        assert out == {"a": (True, None, None), "b": (False, "INPUT_BLOCKED", "told to"), "c": (False, "SHIELD_ERROR", None)}
+
+
+def test_windows_and_fold_give_the_same(spark):
+    r = random.Random(6)
+    rows = [(f"s{k % 4}", k, d, r.choice(["hello", "jailbreak", None, "x@y.org"]), 0.0) for k in range(60) for d in ("input", "output")]
+    policies = [Audit(), PersonalData(), PromptRules(), Custom(block=lambda t: F.when(F.contains(t, F.lit("REDACTED")), "no"), on=("input", "output")), Audit()]
+    names = ["session_id", "seq", "direction", "allowed", "blocked_by", "reason_code", "reason", "request_count", "reached", "final_text"]
+    one, other = (chain.run_chain(conversation(spark, rows), p).select(names).orderBy(*names).collect() for p in (policies, [*policies, CostLimit(max_usd=1e9)]))
+    assert one == other and {x["allowed"] for x in one} == {True, False, None}
+    inputs = [x for x in rows if x[2] == "input"]
+    plain, only = (chain.run_chain(conversation(spark, inputs), policies, inputs_only=o).select(names).orderBy(*names).collect() for o in (False, True))
+    assert plain == only
+
+
+def test_answers_go_through_every_policy(spark):
+    rows = [("a", 1, "input", "mail x@y.org", 0.0), ("a", 2, "input", "jailbreak", 0.0), ("b", 1, "input", "ask", 0.0), ("b", 2, "input", "ask", 0.0)]
+    block = Custom(block=lambda t: F.when(F.contains(t, F.lit("bad")), F.lit("bad word")), on=("output",), code="OUTPUT_BLOCKED")
+    policies = [PersonalData(mode="tokenize"), PromptRules(), block, Custom(rewrite=F.upper, on=("output",)), CostLimit(max_usd=0.0), Audit()]
+    policies[4] = CostLimit(max_usd=0.00005)
+    agent = lambda t: F.when(t == "ask", F.lit("bad answer")).otherwise(F.concat(F.lit("to "), t))
+    out = {(r["session_id"], r["seq"]): r for r in chain.run_batch(conversation(spark, rows), policies, agent).collect()}
+    assert out["a", 1]["final_text"].startswith("mail [TOK_EMAIL_") and out["a", 1]["answer"] == "TO MAIL X@Y.ORG" and out["a", 1]["answer_reached"] == "6"
+    assert out["a", 1]["cost_after"] > out["a", 1]["cost_usd"] > 0
+    assert (out["a", 2]["allowed"], out["a", 2]["answer"], out["a", 2]["answer_allowed"]) == (False, None, None)
+    assert (out["b", 1]["answer"], out["b", 1]["answer_allowed"], out["b", 1]["answer_code"], out["b", 1]["answer_blocked_by"]) == (None, False, "OUTPUT_BLOCKED", "3:Custom")
+    assert out["b", 1]["cost_after"] == out["b", 1]["cost_usd"]
+
+
+def test_token_counts_of_a_vocabulary(spark, tmp_path):
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"th", b"the", b" the", b"an"]
+    (tmp_path / "ranks").write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(ranks)))
+    count = metering.bpe_counter(spark, str(tmp_path / "ranks"), r" ?\w+|\s|[^\w\s]+")
+    df = spark.createDataFrame([("the the",), ("an ant",), ("",), (None,), ("a <|endoftext|> b",)], "t string")
+    assert [r[0] for r in df.select(count(F.col("t"))).collect()] == [2, 4, 0, None, None]
+    rows = [("a", 1, "input", "the the", 0.0), ("b", 1, "input", "an <|endoftext|>", 0.0)]
+    out = {r["session_id"]: r for r in chain.run_chain(conversation(spark, rows), [CostLimit(counter=count)]).collect()}
+    assert out["a"]["cost_usd"] == 2 / 1e6 * 2.5 and (out["b"]["allowed"], out["b"]["reason_code"], out["b"]["blocked_by"]) == (False, "SHIELD_ERROR", "1:CostLimit")
+
+
+def test_an_engine_finds_personal_data(spark):
+    def engine():
+        return lambda t: [(t.index("Ann"), t.index("Ann") + 3, "PERSON", 0.9), (0, 1, "PERSON", 0.2)] if "Ann" in t else []
+
+    rows = [("a", 1, "input", "héllo Ann", 0.0), ("b", 1, "input", "nobody", 0.0)]
+    out = {r["session_id"]: (r["final_text"], r["pii_detected"]) for r in chain.run_chain(conversation(spark, rows), [PersonalData(engine=engine)]).collect()}
+    assert out == {"a": ("héllo [REDACTED_PERSON]", True), "b": ("nobody", False)}
+
+
+def test_tool_chain(spark):
+    from wardline.operators import gates
+    from wardline.plans.policies import Approval, ToolRules
+
+    calls = spark.sql("SELECT * FROM VALUES ('s', 1, 'delete_users', '{}', timestamp'2024-01-01 00:00:00'), ('s', 2, 'pay', '{\"x\":1}', timestamp'2024-01-01 00:00:00'), ('s', 3, 'pay', 'evil', timestamp'2024-01-01 00:00:00'), ('s', 4, 'read', '{}', timestamp'2024-01-01 00:00:00'), ('s', 5, CAST(null AS STRING), '{}', timestamp'2024-01-01 00:00:00') t(session_id, seq, tool_name, params, ts)")
+    said = calls.where("seq in (2, 3)").select(gates.gate_id(F.col("session_id"), F.col("seq")).alias("gate_id"), "ts", (F.col("seq") == 2).alias("approved"))
+    custom = Custom(block=lambda t: F.when(F.contains(t, F.lit("none of this")), F.lit("no")), on=("tool",), code="TOOL_BLOCKED")
+    policies = [Audit(), ToolRules(("delete_*",)), Approval(("tool_call:pay",), timeout_seconds=60), custom, PromptRules(), Audit()]
+    out = {r["seq"]: (r["allowed"], r["blocked_by"], r["reason_code"], r["reached"], r["gate_outcome"]) for r in chain.run_tool_chain(calls, policies, decisions=said).collect()}
+    assert out == {
+        1: (False, "2:ToolRules", "TOOL_NOT_ALLOWED", "1", None), 2: (True, None, None, "1,6", "approved"), 3: (False, "3:Approval", "HUMAN_GATE_DENIED", "1", "denied"),
+        4: (True, None, None, "1,6", None), 5: (False, "1:Audit", "SHIELD_ERROR", None, None),
+    }
+    with pytest.raises(ValueError, match="decisions"):
+        chain.run_tool_chain(calls, policies)

@@ -69,9 +69,12 @@ def test_gates(spark):
 
 
 def test_triggers(spark):
-    df = spark.createDataFrame([("pay", 5.0, False), ("read", 20.0, False), ("read", 1.0, True), ("read", 1.0, False)], "t string, c double, p boolean")
-    fired = gates.triggered(["tool_call:pa*", "cost_exceeds:10", "cost_exceeds:x", "pii_detected", "unknown"], tool=F.col("t"), spent=F.col("c"), pii=F.col("p"))
-    assert [r[0] for r in df.select(fired).collect()] == ["tool_call:pa*", "cost_exceeds:10", "pii_detected", None]
+    df = spark.createDataFrame([("pay", 5.0, False), ("read", 20.0, True), (None, 20.0, False), (None, 1.0, True), (None, 1.0, False), (None, None, None)], "t string, c double, p boolean")
+    triggers = ["tool_call:pa*", "cost_exceeds:10", "cost_exceeds:x", "pii_detected", "unknown"]
+    fired = gates.triggered(triggers, tool=F.col("t"), spent=F.col("c"), pii=F.col("p"))
+    # Globs are asked of calls, money and personal data of inputs.
+    assert [r[0] for r in df.select(fired).collect()] == ["tool_call:pa*", None, "cost_exceeds:10", "pii_detected", None, None]
+    assert [r[0] for r in df.select(gates.triggered(triggers, spent=F.col("c"))).collect()] == [None, "cost_exceeds:10", "cost_exceeds:10", None, None, None]
 
 
 def test_gates_after_other_policies(spark):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import audit, injection, metering, pii
 from .functions.fixed_values import ENTITIES, INJECTION_RULES, PRICES, RULE_CATEGORIES
 from .functions.toolcheck import ParamRule
 from .operators import chain, classifier, gates, ordered, reports, tokens, tools
-from .plans.policies import Audit, CostLimit, PersonalData, PromptRules, RateLimit, ToolRules
+from .plans.policies import Approval, Audit, CostLimit, Custom, PersonalData, PromptRules, RateLimit, ToolRules
 from .sources import adapters, sinks
 
 QUERIES: dict = {}
@@ -111,12 +113,12 @@ def pii_mask_lengths(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST({number_hits_sql('text')} AS BIGINT) AS n_tokens, true AS restored FROM documents")
 def pii_tokenize_roundtrip(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("session_id"), F.col("doc_id").alias("seq"), "text")
-    made = tokens.token_map(docs)
-    hidden = docs.select("doc_id", "session_id", F.col("text").alias("was"), F.coalesce(pii.transform(F.col("text"), "tokenize", session=F.col("session_id")), F.col("text")).alias("text"))
+    # Hits are a column, found once for the rewriting and the tokens.
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("session_id"), F.col("doc_id").alias("seq"), "text").withColumn("hits", pii.found(F.col("text")))
+    made = docs.where(F.size("hits") > 0).select("session_id", F.explode(pii.tokens(F.col("text"), F.col("session_id"), F.col("hits"))).alias("t")).select("session_id", "t.token", "t.original")
+    hidden = docs.select("doc_id", "session_id", F.col("text").alias("was"), F.size("hits").alias("n_tokens"), pii.rewrite(F.col("text"), F.col("hits"), "tokenize", F.col("session_id")).alias("text"))
     back = tokens.restore(hidden, made, row=["doc_id"])
-    counts = made.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    return back.join(counts, "session_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), (F.col("restored") == F.col("was")).alias("restored"))
+    return back.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"), (F.col("restored") == F.col("was")).alias("restored"))
 
 
 # ---- injection
@@ -124,13 +126,13 @@ def pii_tokenize_roundtrip(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, rule, {category_sql('rule')} AS category FROM (SELECT conv_id, turn, {rule_sql('text')} AS rule FROM {PLANTED})")
 def inject_rule_scan(spark, sf_dir):
-    rows = planted(read(spark, sf_dir, "conversations")).select("conv_id", "turn", injection.scanned_rule(F.col("text")).alias("rule"))
+    rows = injection.with_rule(planted(read(spark, sf_dir, "conversations")), F.col("text"))
     return rows.select("conv_id", "turn", "rule", injection.rule_category(F.col("rule")).alias("category"))
 
 
 @query(f"SELECT rule, count(*) AS n FROM (SELECT {rule_sql('text')} AS rule FROM {PLANTED}) WHERE rule IS NOT NULL GROUP BY rule")
 def inject_rule_histogram(spark, sf_dir):
-    rows = planted(read(spark, sf_dir, "conversations")).select(injection.scanned_rule(F.col("text")).alias("rule"))
+    rows = injection.with_rule(planted(read(spark, sf_dir, "conversations")), F.col("text"))
     return rows.where("rule is not null").groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -139,7 +141,7 @@ CUSTOM = (r"\bth\w*ing\b", r"\d{3}\.\d")
 
 @query(f"SELECT doc_id, {rule_sql('text', [*INJECTION_RULES, *CUSTOM])} AS rule FROM documents")
 def inject_custom_pattern(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", injection.scanned_rule(F.col("text"), CUSTOM).alias("rule"))
+    return injection.with_rule(read(spark, sf_dir, "documents"), F.col("text"), CUSTOM).select("doc_id", "rule")
 
 
 @query(f"SELECT conv_id, turn, CASE (conv_id * 31 + turn) % 7 " + " ".join(f"WHEN {n} THEN {rule_sql(quoted(p))}" for n, p in enumerate(PLANTS)) + " END AS rule FROM conversations")
@@ -148,7 +150,7 @@ def inject_b64_planted(spark, sf_dir):
     which, hidden = F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(7)), F.lit("")
     for n, p in enumerate(PLANTS):
         hidden = F.when(which == n, F.concat(F.lit(" "), F.base64(F.lit(p.encode())))).otherwise(hidden)
-    return rows.select("conv_id", "turn", injection.scanned_rule(F.concat(F.col("text"), hidden)).alias("rule"))
+    return injection.with_rule(rows, F.concat(F.col("text"), hidden)).select("conv_id", "turn", "rule")
 
 
 @query(f"SELECT conv_id, turn, CASE (conv_id * 31 + turn) % 7 " + " ".join(f"WHEN {n} THEN {rule_sql(quoted(p))}" for n, p in enumerate(PLANTS)) + " END AS rule FROM conversations")
@@ -159,7 +161,7 @@ def inject_url_planted(spark, sf_dir):
     which, hidden = F.pmod(F.col("conv_id") * 31 + F.col("turn"), F.lit(7)), F.lit("")
     for n, p in enumerate(PLANTS):
         hidden = F.when(which == n, F.lit(" " + quote(p, safe=""))).otherwise(hidden)
-    return rows.select("conv_id", "turn", injection.scanned_rule(F.concat(F.col("text"), hidden)).alias("rule"))
+    return injection.with_rule(rows, F.concat(F.col("text"), hidden)).select("conv_id", "turn", "rule")
 
 
 CANARY_SQL = f"'CANARY-' || upper(substr(sha256(CAST(conv_id AS VARCHAR) || '|{SALT}'), 1, 16))"
@@ -306,6 +308,22 @@ def tool_warn_mode(spark, sf_dir):
     return tools.check_calls(_calls(spark, sf_dir), ToolRules(TOOL_BLOCKED, TOOL_ALLOWED, TOOL_PARAMS, "warn")).select("event_id", "allowed", F.col("warning").isNotNull().alias("warned"))
 
 
+OWN_PARAMS = (ParamRule("click", "q", ("str",), maxlen=10), ParamRule("click", "account", pattern=r"[A-Z]{2}\d+"), ParamRule("view", "account", pattern=r"[A-Z]{2}\d+"), ParamRule("view", "q", maxlen=5))
+ACCOUNTS = ("GB12", "gb12", "GB1x")
+LONG = "user_id % 15 > {n}"
+ODD = "user_id % 3 <> 0"
+
+
+@query(f"""
+SELECT event_id, CASE WHEN event_type = 'click' AND {LONG.format(n=10)} THEN 'Param ''q'' exceeds maxlen 10' WHEN event_type IN ('click', 'view') AND {ODD} THEN 'Param ''account'' does not match pattern'
+  WHEN event_type = 'view' AND {LONG.format(n=5)} THEN 'Param ''q'' exceeds maxlen 5' END AS reason FROM events""")
+def tool_param_order(spark, sf_dir):
+    account = F.element_at(F.array(*[F.lit(a) for a in ACCOUNTS]), (F.col("user_id") % 3 + 1).cast("int"))
+    own = F.to_json(F.struct(F.repeat(F.lit("x"), (F.col("user_id") % 15).cast("int")).alias("q"), account.alias("account")))
+    calls = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("tool_name"), own.alias("params"))
+    return tools.check_calls(calls, ToolRules(params=OWN_PARAMS)).select("event_id", "reason")
+
+
 # ---- gates
 
 
@@ -324,15 +342,38 @@ def gate_decisions(spark, sf_dir):
 
 
 @query(f"""
-SELECT event_id, CASE WHEN event_type GLOB 'pur*' THEN 'tool_call:pur*' WHEN value > 90 THEN 'cost_exceeds:90' END AS trigger,
+SELECT event_id, CASE WHEN event_type GLOB 'pur*' THEN 'tool_call:pur*' WHEN event_type = 'view' AND value > 90 THEN 'cost_exceeds:90' END AS trigger,
        'gate-' || substr(sha256(CAST(user_id AS VARCHAR) || '|' || CAST(event_id AS VARCHAR)), 1, 8) AS gate_id
-FROM events WHERE event_type GLOB 'pur*' OR value > 90""")
+FROM events WHERE event_type GLOB 'pur*' OR event_type = 'view' AND value > 90""")
 def gate_requests(spark, sf_dir):
+    """Views stand for inputs, the other events for tool calls."""
     events = read(spark, sf_dir, "events")
-    fired = gates.triggered(["tool_call:pur*", "cost_exceeds:90", "cost_exceeds:not-a-number"], tool=F.col("event_type"), spent=F.col("value"))
+    fired = gates.triggered(["tool_call:pur*", "cost_exceeds:90", "cost_exceeds:not-a-number"], tool=F.when(F.col("event_type") != "view", F.col("event_type")), spent=F.col("value"))
     return events.select("event_id", fired.alias("trigger"), gates.gate_id(F.col("user_id"), F.col("event_id")).alias("gate_id")).where("trigger is not null")
 
 
+@query("SELECT doc_id, CASE WHEN " + " OR ".join(f"regexp_matches(text, {quoted(p)}, 'i')" for p in ENTITIES.values()) + " THEN 'pii_detected' WHEN n_chars > 5000 THEN 'cost_exceeds:5000' END AS trigger FROM documents")
+def gate_inputs_with_personal_data(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    fired = gates.triggered(["tool_call:*", "pii_detected", "cost_exceeds:5000"], spent=F.col("n_chars"), pii=pii.kinds_hit(F.col("text")) > 0)
+    return docs.select("doc_id", fired.alias("trigger"))
+
+
+@query(f"""
+WITH v AS (SELECT event_id, {DENIED} AS denied, event_type GLOB 'pur*' AS asked, value > 50 AS yes, value > 20 AS said FROM events)
+SELECT event_id, NOT denied AND (NOT asked OR yes) AS allowed, CASE WHEN denied THEN '1:ToolRules' WHEN asked AND NOT yes THEN '2:Approval' END AS blocked_by,
+       CASE WHEN denied THEN 'TOOL_NOT_ALLOWED' WHEN asked AND NOT yes THEN 'HUMAN_GATE_DENIED' END AS reason_code,
+       CASE WHEN NOT denied AND asked THEN CASE WHEN yes THEN 'approved' WHEN said THEN 'denied' ELSE 'timeout' END END AS gate_outcome,
+       CASE WHEN NOT denied AND (NOT asked OR yes) THEN '3' END AS reached FROM v""")
+def tool_chain(spark, sf_dir):
+    """Rules, then a gate that half of the requests get an approval for, then an audit."""
+    events = read(spark, sf_dir, "events")
+    calls = events.select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool_name"), F.col("props").alias("params"), "ts")
+    said = events.where("event_type = 'purchase' and value > 20").select(gates.gate_id(F.col("user_id"), F.col("event_id")).alias("gate_id"), (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), (F.col("value") > 50).alias("approved"))
+    policies = [ToolRules(TOOL_BLOCKED, TOOL_ALLOWED), Approval(("tool_call:pur*",), timeout_seconds=12 * 3600), Audit()]
+    return chain.run_tool_chain(calls, policies, decisions=said).select("event_id", "allowed", "blocked_by", "reason_code", "gate_outcome", "reached")
+
+
 @query("""SELECT 'gate-' || substr(sha256(CAST(user_id AS VARCHAR) || '|' || CAST(event_id AS VARCHAR)), 1, 8) AS gate_id,
   '{"text":"*Approval required* `gate-' || substr(sha256(CAST(user_id AS VARCHAR) || '|' || CAST(event_id AS VARCHAR)), 1, 8) || '`\\n*type*: tool_call\\n*tool_name*: ' || event_type || '\\n*session_id*: ' || CAST(user_id AS VARCHAR) || '"}' AS payload
 FROM events WHERE event_type = 'purchase'""")
@@ -342,7 +383,15 @@ def notify_chat_payload(spark, sf_dir):
     return rows.select("gate_id", sinks.chat_payload(text).alias("payload"))
 
 
-@query()
+def hmac_sql(key: bytes, body: str) -> str:
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ x for b in block).hex() for x in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({body}))))"
+
+
+@query(f"""
+WITH b AS (SELECT '{{"gate_id":"gate-' || substr(sha256(CAST(user_id AS VARCHAR) || '|' || CAST(event_id AS VARCHAR)), 1, 8) || '","type":"tool_call","tool_name":"' || event_type || '"}}' AS body FROM events WHERE event_type = 'purchase')
+SELECT body, 'sha256=' || {hmac_sql(b"key", "body")} AS signature FROM b""")
 def notify_webhook(spark, sf_dir):
     rows = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(gates.gate_id(F.col("user_id"), F.col("event_id")).alias("gate_id"), F.lit("tool_call").alias("type"), F.col("event_type").alias("tool_name"))
     return sinks.HttpNotifier("http://localhost/", b"key").requests(rows)
@@ -410,7 +459,7 @@ SELECT conv_id, turn, t AS final_text, rule IS NULL AS allowed, CASE WHEN rule I
 FROM v""")
 def chain_verdict(spark, sf_dir):
     rows = adapters.as_messages(planted(read(spark, sf_dir, "conversations")), session="conv_id", order="turn", text="text", role="role").where("direction = 'input'")
-    out = chain.run_chain(rows, [PersonalData(), PromptRules(), Audit()])
+    out = chain.run_chain(rows, [PersonalData(), PromptRules(), Audit()], inputs_only=True)
     return out.select(F.col("session_id").cast("bigint").alias("conv_id"), F.col("seq").alias("turn"), "final_text", "allowed", "blocked_by", "reason_code", "request_count", "reached")
 
 
@@ -420,7 +469,23 @@ def _stateful_chain(spark, sf_dir) -> DataFrame:
     return chain.run_chain(rows, [RateLimit(per_minute=2.0, burst=2), PromptRules(), CostLimit(max_usd=0.001, model=MODEL)])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role = 'user' AS inp, CAST(conv_id * 100000 + turn * 20 AS DOUBLE) AS sec, {rule_sql('text')} AS rule,
+         CAST(ceil(length(text) / 4.0) AS BIGINT) / 1000000.0::DOUBLE * CASE WHEN role = 'user' THEN {IN_RATE}::DOUBLE ELSE {OUT_RATE}::DOUBLE END AS c,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role <> 'user') AS rn
+  FROM {PLANTED} WHERE role IN ('user', 'assistant')),
+f AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS BOOLEAN) AS inp, 2.0::DOUBLE AS tok, CAST(NULL AS DOUBLE) AS last, 0.0::DOUBLE AS cost, true AS open, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS blocked_by, CAST(NULL AS BOOLEAN) AS allowed FROM m
+  UNION ALL
+  SELECT conv_id, rn, turn, inp, CASE WHEN inp THEN CASE WHEN av >= 1 THEN av - 1 ELSE av END ELSE tok END, CASE WHEN inp THEN sec ELSE last END,
+         CASE WHEN v IS NULL AND (inp OR open) THEN cost + c ELSE cost END, CASE WHEN inp THEN v IS NULL ELSE open END, CASE WHEN inp AND v IS NULL THEN n + 1 ELSE n END,
+         v, CASE WHEN inp THEN v IS NULL WHEN open THEN true END
+  FROM (SELECT *, CASE WHEN inp THEN CASE WHEN av < 1 THEN '1:RateLimit' WHEN rule IS NOT NULL THEN '2:PromptRules' WHEN cost + c > 0.001::DOUBLE THEN '3:CostLimit' END END AS v
+        FROM (SELECT m.*, f.tok, f.last, f.cost, f.open, f.n, coalesce(least(2.0::DOUBLE, f.tok + (m.sec - f.last) * (2.0::DOUBLE / 60)), 2.0::DOUBLE) AS av FROM f JOIN m ON m.conv_id = f.conv_id AND m.rn = f.rn + 1)))
+SELECT conv_id, turn, CASE WHEN inp THEN 'input' ELSE 'output' END AS direction, allowed, blocked_by,
+       CASE blocked_by WHEN '1:RateLimit' THEN 'RATE_LIMIT_EXCEEDED' WHEN '2:PromptRules' THEN 'PROMPT_INJECTION_DETECTED' WHEN '3:CostLimit' THEN 'COST_LIMIT_EXCEEDED' END AS reason_code,
+       round(cost, 9) AS cost_usd, n AS request_count FROM f WHERE rn > 0""")
 def chain_stateful(spark, sf_dir):
     out = _stateful_chain(spark, sf_dir)
     return out.select(F.col("session_id").cast("bigint").alias("conv_id"), F.col("seq").alias("turn"), "direction", "allowed", "blocked_by", "reason_code", F.round("cost_usd", 9).alias("cost_usd"), "request_count")
@@ -429,7 +494,7 @@ def chain_stateful(spark, sf_dir):
 @query(f"SELECT CASE WHEN rule IS NOT NULL THEN '1:PromptRules' END AS blocked_by, count(*) AS n FROM (SELECT {rule_sql('text')} AS rule FROM {PLANTED} WHERE role = 'user') GROUP BY ROLLUP (blocked_by)")
 def verdict_report(spark, sf_dir):
     rows = adapters.as_messages(planted(read(spark, sf_dir, "conversations")), session="conv_id", order="turn", text="text", role="role").where("direction = 'input'")
-    return chain.run_chain(rows, [PromptRules()]).rollup("blocked_by").agg(F.count(F.lit(1)).alias("n"))
+    return chain.run_chain(rows, [PromptRules()], inputs_only=True).rollup("blocked_by").agg(F.count(F.lit(1)).alias("n"))
 
 
 ANSWERS = (("the", "first"), ("que", "second"))
@@ -444,6 +509,42 @@ def end_to_end_mock_agent(spark, sf_dir):
     return out.select(F.col("session_id").cast("bigint").alias("conv_id"), F.col("seq").alias("turn"), "allowed", "answer")
 
 
+def _inputs(spark, sf_dir) -> DataFrame:
+    return adapters.as_messages(planted(read(spark, sf_dir, "conversations")), session="conv_id", order="turn", text="text", role="role").where("direction = 'input'")
+
+
+@query(f"""
+WITH a AS (SELECT conv_id, turn, text, {rule_sql('text')} AS rule, CASE WHEN contains(lower(text), 'the') THEN 'first' WHEN contains(lower(text), 'que') THEN 'second' ELSE 'none' END AS said FROM {PLANTED} WHERE role = 'user'),
+b AS (SELECT *, rule IS NULL AS ok, rule IS NULL AND said <> 'second' AS told FROM a),
+c AS (SELECT *, CASE WHEN ok THEN CAST(ceil(length(text) / 4.0) AS BIGINT) / 1000000.0::DOUBLE * {IN_RATE}::DOUBLE ELSE 0 END + CASE WHEN told THEN CAST(ceil(length(said) / 4.0) AS BIGINT) / 1000000.0::DOUBLE * {OUT_RATE}::DOUBLE ELSE 0 END AS cost FROM b)
+SELECT conv_id, turn, ok AS allowed, CASE WHEN told THEN said END AS answer, CASE WHEN ok THEN told END AS answer_allowed, CASE WHEN ok AND NOT told THEN 'OUTPUT_BLOCKED' END AS answer_code,
+       CASE WHEN ok AND NOT told THEN '2:Custom' END AS answer_blocked_by, CASE WHEN told THEN '4' END AS answer_reached,
+       CASE WHEN ok THEN round(sum(cost) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 9) END AS cost_after FROM c""")
+def chain_answers(spark, sf_dir):
+    """Answers through the output side: one word is blocked, the others are metered and audited."""
+    word = Custom(name="word", block=lambda t: F.when(t == "second", F.lit("said it")), on=("output",), code="OUTPUT_BLOCKED")
+    out = chain.run_batch(_inputs(spark, sf_dir), [PromptRules(), word, CostLimit(max_usd=1e9, model=MODEL), Audit()], lambda text: classifier.mock_answer(text, ANSWERS, "none"))
+    return out.select(F.col("session_id").cast("bigint").alias("conv_id"), F.col("seq").alias("turn"), "allowed", "answer", "answer_allowed", "answer_code", "answer_blocked_by", "answer_reached", F.round("cost_after", 9).alias("cost_after"))
+
+
+@query(f"SELECT doc_id, 'Sending ' || text || ' now' AS answer, ({number_hits_sql('text')}) > 0 AS hidden FROM documents")
+def chain_tokens_restored(spark, sf_dir):
+    """Personal data goes to the agent as tokens, and comes back in the answer."""
+    docs = adapters.as_messages(read(spark, sf_dir, "documents").withColumn("one", F.lit(1)), session="doc_id", order="one", text="text")
+    out = chain.run_batch(docs, [PersonalData(mode="tokenize")], lambda text: F.concat(F.lit("Sending "), text, F.lit(" now")))
+    return out.select(F.col("session_id").cast("bigint").alias("doc_id"), "answer", F.contains("final_text", F.lit("[TOK_")).alias("hidden"))
+
+
+@query(f"""
+WITH a AS (SELECT conv_id, turn, turn % 3 = 0 AS gone, CASE WHEN turn % 3 = 0 THEN 0 ELSE CAST(ceil(length(text) / 4.0) AS BIGINT) / 1000000.0::DOUBLE * {IN_RATE}::DOUBLE END AS c FROM {PLANTED} WHERE role = 'user')
+SELECT conv_id, turn, NOT gone AS allowed, CASE WHEN gone THEN '1:CostLimit' END AS blocked_by, CASE WHEN gone THEN 'SHIELD_ERROR' END AS reason_code, CASE WHEN NOT gone THEN '2' END AS reached,
+       round(sum(c) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 9) AS cost_usd FROM a""")
+def chain_null_texts(spark, sf_dir):
+    rows = _inputs(spark, sf_dir).withColumn("text", F.when(F.col("seq") % 3 != 0, F.col("text")))
+    out = chain.run_chain(rows, [CostLimit(max_usd=1e9, model=MODEL), Audit()])
+    return out.select(F.col("session_id").cast("bigint").alias("conv_id"), F.col("seq").alias("turn"), "allowed", "blocked_by", "reason_code", "reached", F.round("cost_usd", 9).alias("cost_usd"))
+
+
 # ---- reports
 
 
@@ -478,5 +579,4 @@ def classifier_train(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: personal data redacted and rules applied to every document."""
     docs = read(spark, sf_dir, "documents").withColumn("redacted", F.coalesce(pii.transform(F.col("text")), F.col("text")))
-    rule: Column = injection.scanned_rule(F.col("redacted"))
-    return docs.select("doc_id", "redacted", rule.alias("rule")).withColumns({"allowed": F.col("rule").isNull(), "reason": injection.rule_reason(F.col("rule"))})
+    return injection.with_rule(docs, F.col("redacted")).select("doc_id", "redacted", "rule").withColumns({"allowed": F.col("rule").isNull(), "reason": injection.rule_reason(F.col("rule"))})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decoding import scan_text
@@ -26,9 +26,10 @@ def first_rule(text: Column, custom: tuple[str, ...] = ()) -> Column:
     return F.when(either, F.coalesce(*[F.when(found(text, r, f), F.lit(n)) for n, (r, f) in enumerate(zip(rules, flags), 1)]))
 
 
-def scanned_rule(text: Column, custom: tuple[str, ...] = ()) -> Column:
-    """``first_rule`` over the text followed by what it hides."""
-    return first_rule(scan_text(text), custom)
+def with_rule(df: DataFrame, text: Column, custom: tuple[str, ...] = (), name: str = "rule") -> DataFrame:
+    """``df`` with ``first_rule`` over the text followed by what it hides; the scanned text is a column of its own, made once for all rules."""
+    scanned = df.withColumn("_scan", scan_text(text))
+    return scanned.withColumn(name, first_rule(F.col("_scan"), custom)).drop("_scan")
 
 
 def rule_reason(rule: Column, custom: tuple[str, ...] = ()) -> Column:

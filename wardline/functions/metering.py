@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +22,44 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / F.lit(4.0)).cast("bigint")
 
 
+#: A rank file beyond this is no vocabulary to ship to every worker.
+MAX_RANK_FILE = 64 << 20
+_ENCODINGS: dict = {}
+
+
+def bpe_counter(spark: SparkSession, ranks: str, pattern: str, special: tuple[str, ...] = ("<|endoftext|>",)) -> Callable[[Column], Column]:
+    """A counter of byte-level BPE tokens by the vocabulary at ``ranks`` (lines of base64 token and rank), in Arrow batches.
+
+    A text with the string of a special token has no count, so that a budget blocks it; neither has a null text.
+    """
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(ranks)
+    if system.get_file_info(at).size > MAX_RANK_FILE:
+        raise ValueError(f"{ranks} is larger than {MAX_RANK_FILE} bytes")
+    with system.open_input_stream(at) as f:
+        data = f.read()
+    shared = spark.sparkContext.broadcast(data)
+    key = (hashlib.sha256(data).hexdigest(), pattern)
+
+    def encoding():
+        import tiktoken
+
+        if key not in _ENCODINGS:
+            own = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value.splitlines() if line.strip())}
+            _ENCODINGS.clear()
+            _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own, special_tokens={})
+        return _ENCODINGS[key]
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = encoding()
+        for texts in batches:
+            yield pd.Series([None if t is None or any(s in t for s in special) else len(own.encode_ordinary(t)) for t in texts], dtype="Int64")
+
+    return count
+
+
 def scaled_tokens(tokens: Column, model: Column) -> Column:
     """Tokens as another tokenizer would count them, truncated."""
     return F.when(model.startswith(OWN_TOKENIZER), tokens).otherwise((tokens * F.lit(FACTOR)).cast("bigint"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,9 +123,39 @@ def transform(text: Column, mode: str = "redact", entities=None, overlap: str =
     return F.nullif(exact, text)
 
 
-def tokens(text: Column, session: Column, entities=None, prefix: str = "TOK") -> Column:
-    """(token, original, ordinal) of every hit that ``transform`` in tokenize mode replaces, in the order of replacement."""
-    return F.transform(separate(hits(text, entities)), lambda h, i: F.struct(token_name(session, h, _span(text, h), prefix).alias("token"), _span(text, h).alias("original"), i.alias("ordinal")))
+def found(text: Column, entities=None) -> Column:
+    """The hits that don't overlap; none are looked for where no entity is in the text."""
+    return F.when(kinds_hit(text, entities) >= 1, separate(hits(text, entities))).otherwise(F.array().cast(HIT))
+
+
+def tokens(text: Column, session: Column, own: Column, prefix: str = "TOK") -> Column:
+    """(token, original, ordinal) of hits (``found``) that ``rewrite`` in tokenize mode replaces, in the order of replacement."""
+    return F.transform(own, lambda h, i: F.struct(token_name(session, h, _span(text, h), prefix).alias("token"), _span(text, h).alias("original"), i.alias("ordinal")))
+
+
+#: Score from which on an engine's hit counts.
+THRESHOLD = 0.6
+
+
+def engine_hits(text: Column, engine, entities=None, threshold: float = THRESHOLD) -> Column:
+    """Hits by a named-entity engine, as ``hits`` gives those of the patterns.
+
+    ``engine`` is a function without arguments that a worker calls once; what it returns takes a text and gives
+    (start, end, entity, score) tuples with offsets in code points.  Entities that weren't asked for don't count.
+    """
+    wanted = None if entities is None else frozenset(entities)
+
+    @F.pandas_udf(HIT)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        analyse = engine()
+        for texts in batches:
+            out = []
+            for t in texts:
+                own = [] if t is None else [h for h in analyse(t) if h[3] >= threshold and (wanted is None or h[2] in wanted)]
+                out.append([{"start": a, "end": b, "ordinal": k, "entity": e} for k, (a, b, e, _) in enumerate(own)])
+            yield pd.Series(out)
+
+    return run(text)
 
 
 def detokenize(text: Column, known: Column) -> Column:

@@ -10,19 +10,23 @@ from ..plans.policies import CODES, Approval
 
 
 def triggered(triggers: list[str] | tuple[str, ...], *, tool: Column | None = None, spent: Column | None = None, pii: Column | None = None) -> Column:
-    """The first trigger that fires, or null.  A trigger that can't be read, or lacks its column, never fires."""
-    out = []
+    """The first trigger that fires, or null.
+
+    Globs are asked of tool calls only (rows with a tool); what was spent, and personal data, of inputs only (rows
+    without one).  A trigger that can't be read, or lacks its column, never fires.
+    """
+    out, an_input = [], F.lit(True) if tool is None else tool.isNull()
     for trigger in triggers:
         kind, _, value = trigger.partition(":")
         if kind == "tool_call" and tool is not None:
             out.append(F.when(any_glob(tool, [value]), F.lit(trigger)))
         elif kind == "cost_exceeds" and spent is not None:
             try:
-                out.append(F.when(spent > float(value), F.lit(trigger)))
+                out.append(F.when(an_input & (spent > float(value)), F.lit(trigger)))
             except ValueError:
                 continue
         elif kind == "pii_detected" and pii is not None:
-            out.append(F.when(pii, F.lit(trigger)))
+            out.append(F.when(an_input & pii, F.lit(trigger)))
     return F.coalesce(*out) if out else F.lit(None).cast("string")
 
 

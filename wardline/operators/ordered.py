@@ -108,17 +108,20 @@ def running(df: DataFrame, value: Column, key: str, order: list[str]) -> Column:
     return F.sum(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def running_global(df: DataFrame, value: str, order: str, name: str, parts: int = 64) -> DataFrame:
+#: Rows of a range of a running sum over a whole table, and the most ranges.
+RANGE_ROWS, RANGES = 1_000_000, 4096
+
+
+def running_global(df: DataFrame, value: str, order: str, name: str, parts: int | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over all rows so far by ``order`` (unique), without bringing all rows to one task.
 
-    Rows are cut into ranges of ``order``; each range's total is one row, their running sum is the offset of the
-    next range, and the rest is a running sum within a range.
+    Rows are cut into ranges of ``order``, by their number as many as keep a range small; each range's total is one row,
+    their running sum is the offset of the next range, and the rest is a running sum within a range.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
-    bucket = F.lit(0)
-    for cut in cuts:
-        bucket = bucket + (F.col(order) > F.lit(cut)).cast("int")
-    dealt = df.withColumn("_range", bucket)
+    parts = parts or min(RANGES, max(8, -(-df.count() // RANGE_ROWS)))
+    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts)))
+    above = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
+    dealt = df.withColumn("_range", F.size(F.filter(above, lambda c: F.col(order) > c)))
     totals = dealt.groupBy("_range").agg(F.sum(value).alias("_total"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

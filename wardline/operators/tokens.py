@@ -10,7 +10,9 @@ from ..functions import pii
 
 def token_map(messages: DataFrame, *, session: str = "session_id", order: str = "seq", text: str = "text", entities=None, prefix: str = "TOK") -> DataFrame:
     """(session, token, original, order, ordinal) of every token that the messages' rewriting makes."""
-    found = messages.select(F.col(session), F.col(order), F.explode(pii.tokens(F.col(text), F.col(session), entities, prefix)).alias("t"))
+    # The hits are a column of their own, so that they are found once for all that is made of them.
+    hit = messages.withColumn("_hits", pii.found(F.col(text), entities)).where(F.size("_hits") > 0)
+    found = hit.select(F.col(session), F.col(order), F.explode(pii.tokens(F.col(text), F.col(session), F.col("_hits"), prefix)).alias("t"))
     return found.select(session, "t.token", "t.original", order, F.col("t.ordinal").alias("ordinal"))
 
 

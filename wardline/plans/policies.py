@@ -46,6 +46,9 @@ class PersonalData(Policy):
     entities: tuple[str, ...] | None = None
     overlap: str = "separate"
     prefix: str = "TOK"
+    #: A named-entity engine in place of the patterns (see ``functions.pii.engine_hits``), and its least score.
+    engine: Callable | None = None
+    threshold: float = 0.6
 
     def __post_init__(self):
         if self.mode not in ("redact", "mask", "tokenize"):
@@ -141,11 +144,16 @@ class Audit(Policy):
 
 @dataclass(frozen=True)
 class Custom(Policy):
-    """A user's policy: column functions of the text, each giving a reason (null allows) or a new text (null keeps)."""
+    """A user's policy: column functions of the text, each giving a reason (null allows) or a new text (null keeps).
+
+    ``check`` is the same as ``block`` for a plain function of a string, run in Arrow batches; where it raises, the row is
+    blocked.  Column functions should be total (``try_`` functions): an error in one is an error of the whole job.
+    """
 
     name: str = "custom"
     block: Callable[[Column], Column] | None = None
     rewrite: Callable[[Column], Column] | None = None
+    check: Callable[[str], str | None] | None = None
     on: tuple[str, ...] = ("input",)
     code: str = "INPUT_BLOCKED"
     params: dict = field(default_factory=dict, hash=False, compare=False)
