@@ -102,3 +102,39 @@ def test_documents_of_the_table_against_brute_force(spark):
     labels, pairs = jaccard_groups(texts)
     got = linked(spark, texts, "table")
     assert [got[i] for i in range(len(texts))] == labels and pairs
+
+
+def test_equal_fingerprints_are_all_compared():
+    """Of documents with one fingerprint, or on two leaves within the budget, every pair is checked, not only the first."""
+    assert near_copies._Bucket().links(0.8, 18) == []
+    far, one, other = (np.arange(k, k + 100, dtype=np.uint64) for k in (1000, 0, 5))
+    for prints in ((5, 5, 5), (5, 4, 5), (4, 4, 5), (4, 5, 5)):
+        bucket = near_copies._Bucket()
+        bucket.ids, bucket.prints, bucket.sets = [7, 8, 9], list(prints), [x.tobytes() for x in (far, one, other)]
+        assert bucket.links(0.8, 18) == [(9, 8)]
+
+
+def test_links_of_a_bucket_against_every_pair(monkeypatch):
+    """Groups with and without pivots are those of all pairs within the budget, with many equal fingerprints."""
+    r = random.Random(5)
+    bases = [[b"w%d" % r.randrange(10**6) for _ in range(120)] for _ in range(4)]
+    bucket = near_copies._Bucket()
+    for k in range(150):
+        text = list(bases[k % 4])
+        for _ in range(r.randrange(1, 5)):
+            text[r.randrange(len(text))] = b"x%d" % r.randrange(10**6)
+        hashes = np.unique(simhash.shingle_hashes(text, 5))
+        bucket.ids.append(k)
+        bucket.prints.append(simhash.fingerprint(hashes))
+        bucket.sets.append(hashes.tobytes())
+    sets = [set(np.frombuffer(x, np.uint64).tolist()) for x in bucket.sets]
+    labels = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = labels[i], labels[j]
+                labels = [min(a, b) if x in (a, b) else x for x in labels]
+    for pivots in (0, 1, 16):
+        monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+        got = dict(bucket.links(0.8, 64))
+        assert [got.get(k, k) for k in range(150)] == labels

@@ -31,6 +31,8 @@ from .simhash import fingerprint, shingle_hashes, trie_links, without, words
 CUT_ANCHORS = 16
 #: Sampled shingles of a document; documents of a bucket before it is cut, and of a block after that.
 ANCHORS, BUCKET_DOCS, BLOCK_DOCS = 6, 1000, 4000
+#: Documents of a bucket that all others are compared with before the trie self-join, so that this needn't pair a group's members.
+PIVOTS = 16
 #: Candidate pairs looked at between two looks at what is joined already.
 RUN = 1024
 #: The most that a bucket's table of shared shingles may take.
@@ -128,7 +130,19 @@ class _Bucket:
         sizes = np.array([len(s) for s in sets])
         shared = _shared(sets)
         labels = np.arange(len(ids))
-        for a, b in trie_links(prints, np.array([0, len(ids)]), budget):
+        # A group of copies is one component after a few of these; pairs of different components are left to the trie.
+        for _ in range(PIVOTS if len(ids) > PIVOTS else 0):
+            alone = np.flatnonzero(labels == np.arange(len(ids)))
+            alone = alone[np.bincount(labels, minlength=len(ids))[alone] == 1]
+            if len(alone) < 2:
+                break
+            pivot = alone[len(alone) // 2]
+            both = shared(np.full(len(ids), pivot), np.arange(len(ids)))
+            alike = both >= similarity * (sizes[pivot] + sizes - both) - 1e-9
+            alike[pivot] = True
+            joined = np.unique(labels[alike])
+            labels[np.isin(labels, joined)] = joined.min()
+        for a, b in trie_links(prints, np.array([0, len(ids)]), budget, labels.copy()):
             near = (labels[a] != labels[b]) & (np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]))
             a, b = a[near], b[near]
             by_errors = np.argsort(np.bitwise_count(prints[a] ^ prints[b]), kind="stable")

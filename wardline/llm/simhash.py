@@ -28,6 +28,8 @@ BUCKET_ROWS = 2048
 LEVELS = 3
 #: Node pairs traversed at a time.
 FRONTIER = 1 << 20
+#: Pairs of leaves whose members are paired at a time.
+LEAF_PAIRS = 1 << 16
 
 # Fixed: ASCII capitals become small; words are separated by space and 09-0D.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -137,15 +139,24 @@ def buckets(prints: DataFrame, budget: int, limit: int = BUCKET_ROWS) -> DataFra
     return out
 
 
-def trie_links(prints: np.ndarray, runs: np.ndarray, budget: int):
+def trie_links(prints: np.ndarray, runs: np.ndarray, budget: int, groups: np.ndarray | None = None):
     """Links (index arrays) between fingerprints of one run at ``budget`` differing bits at most.
 
     ``prints`` (uint64) ascends within each run; ``runs`` has the runs' starts and the total.  Yields arrays.
+    Without ``groups``, of equal fingerprints only the first is linked to others: that connects the same.  With ``groups``
+    (a label of each) every pair comes that isn't of one group, and node pairs whose leaves are all of one are left out.
     """
+    if groups is not None and len(groups):
+        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        # Where the run of equal labels that each fingerprint is in ends.
+        until = np.repeat(np.append(starts[1:], len(groups)), np.diff(np.append(starts, len(groups))))
     lo, hi = runs[:-1][np.diff(runs) > 1], runs[1:][np.diff(runs) > 1]
     stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
+        if groups is not None and len(alo):
+            mixed = (until[alo] < ahi) | (until[blo] < bhi) | (groups[alo] != groups[blo])
+            alo, ahi, blo, bhi, err = (x[mixed] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
         if len(alo) > FRONTIER:
@@ -160,7 +171,10 @@ def trie_links(prints: np.ndarray, runs: np.ndarray, budget: int):
             rest = ~single
             alo, ahi, blo, bhi, err = (x[rest] for x in (alo, ahi, blo, bhi, err))
         if depth == BITS or not len(alo):
-            if len(alo):
+            if len(alo) and groups is not None:
+                for at in range(0, len(alo), LEAF_PAIRS):
+                    yield from _leaf_pairs(*(x[at : at + LEAF_PAIRS] for x in (alo, ahi, blo, bhi)))
+            elif len(alo):
                 # Equal prints only: the sides are one leaf's copies, chained to its first.
                 for x, y, u, v in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist()):
                     every = np.unique(np.concatenate([np.arange(x, y), np.arange(u, v)]))
@@ -182,6 +196,21 @@ def trie_links(prints: np.ndarray, runs: np.ndarray, budget: int):
         stack.append((depth + 1, *(x[keep] for x in joined)))
 
 
+def _leaf_pairs(alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray):
+    """Every pair between two leaves' ranges, or within the one; arrays of about FRONTIER pairs or one row of them."""
+    rows = ahi - alo
+    a = np.arange(int(rows.sum())) + np.repeat(alo - (np.cumsum(rows) - rows), rows)
+    lo, hi = np.where(np.repeat(alo == blo, rows), a + 1, np.repeat(blo, rows)), np.repeat(bhi, rows)
+    n = hi - lo
+    total = np.cumsum(n)
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FRONTIER, "right")))
+        own, before = n[at:end], total[at:end] - n[at:end] - (total[at - 1] if at else 0)
+        yield np.repeat(a[at:end], own), np.arange(int(own.sum())) + np.repeat(lo[at:end] - before, own)
+        at = end
+
+
 def _split(prints: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
     """Of each range, which shares the bits above ``bit``: where the ones begin (binary search in step)."""
     left, right = lo.copy(), hi.copy()
