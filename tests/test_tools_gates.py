@@ -86,6 +86,42 @@ def test_gates_after_other_policies(spark):
     assert out == {1: (True, None, "approved"), 2: (True, None, None), 3: (False, "TOOL_NOT_ALLOWED", None), 4: (False, "HUMAN_GATE_DENIED", "timeout")}
 
 
+# Two calls whose gate ids are both gate-fd497ccc.
+SHARED = ((31920, 2182757), (53750, 3583795))
+
+
+def test_calls_that_share_a_gate_id(spark):
+    from wardline.plans.policies import Approval
+
+    a, b = SHARED
+    calls = spark.createDataFrame([a, b, (1, 1), (None, 5), (5, None)], "s long, i long").selectExpr("s", "i", "timestamp'2024-01-01 00:00:00' ts", "'pay' tool_name", "true allowed", "cast(null as string) reason_code")
+    assert calls.select(gates.gate_id(F.col("s"), F.col("i"))).distinct().count() == 3
+    said = calls.where(f"i in (1, 5, {b[1]})").select(gates.gate_id(F.col("s"), F.col("i")).alias("gate_id"), F.col("s").cast("int").alias("s"), F.col("i").cast("int").alias("i"), "ts", F.lit(True).alias("approved"))
+
+    def outcomes(decisions):
+        out = gates.gated(calls, Approval(("tool_call:pay",), timeout_seconds=60), decisions, parts=["s", "i"], tool="tool_name")
+        return {(r["s"], r["i"]): (r["allowed"], r["gate_outcome"]) for r in out.collect()}
+
+    yes, no, late = (True, "approved"), (False, "denied"), (False, "timeout")
+    assert outcomes(said) == {a: late, b: yes, (1, 1): yes, (None, 5): yes, (5, None): late}
+    # By the id alone none of several is approved.
+    assert outcomes(said.drop("s", "i")) == {a: no, b: no, (1, 1): yes, (None, 5): no, (5, None): no}
+
+
+def test_tool_chain_equals_its_sql_where_gate_ids_are_shared(spark, tmp_path):
+    import duckdb
+
+    from wardline import catalog
+
+    rows = [(e, u, "purchase", v, "{}") for (u, e), v in zip(SHARED, (11.8, 83.31))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.SQL["tool_chain"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.tool_chain(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_audit_records(spark, tmp_path):
     df = spark.createDataFrame([("s", "héllo", '{"b":1,"a":[2]}')], "s string, t string, p string")
     ts = F.lit("2024-01-01 00:00:00.1234567").cast("timestamp")

@@ -369,7 +369,7 @@ def tool_chain(spark, sf_dir):
     """Rules, then a gate that half of the requests get an approval for, then an audit."""
     events = read(spark, sf_dir, "events")
     calls = events.select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("tool_name"), F.col("props").alias("params"), "ts")
-    said = events.where("event_type = 'purchase' and value > 20").select(gates.gate_id(F.col("user_id"), F.col("event_id")).alias("gate_id"), (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), (F.col("value") > 50).alias("approved"))
+    said = events.where("event_type = 'purchase' and value > 20").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), (F.col("value") > 50).alias("approved"))
     policies = [ToolRules(TOOL_BLOCKED, TOOL_ALLOWED), Approval(("tool_call:pur*",), timeout_seconds=12 * 3600), Audit()]
     return chain.run_tool_chain(calls, policies, decisions=said).select("event_id", "allowed", "blocked_by", "reason_code", "gate_outcome", "reached")
 

@@ -256,9 +256,9 @@ def run_tool_chain(calls: DataFrame, policies: list[Policy], *, decisions: DataF
     """``calls`` with the chain's verdict over tool calls: each policy that takes part in them, in order, until one blocks.
 
     Adds allowed, blocked_by, reason_code, reason, warnings, reached, gate_id, gate_trigger and gate_outcome.  Tool rules
-    check names and parameters; a gate needs ``decisions`` (gate_id, ts, approved), and names its requests by the columns
-    ``parts``, which tell the calls apart; an audit records that the call reached it; a custom policy gets the parameters'
-    JSON and can't rewrite it.  Rates, budgets, prompt rules and personal data have no part in tool calls.  A call without a name is blocked
+    check names and parameters; a gate needs ``decisions`` (ts, approved, and the call's ``parts`` or its gate_id, which
+    several calls may share), and names its requests by the columns ``parts``, which tell the calls apart; an audit
+    records that the call reached it; a custom policy gets the parameters' JSON and can't rewrite it.  Rates, budgets, prompt rules and personal data have no part in tool calls.  A call without a name is blocked
     by the first policy that takes part, with the error's code.
     """
     text = F.lit(None).cast("string")

@@ -56,14 +56,31 @@ def gated(df: DataFrame, policy: Approval, decisions: DataFrame, *, parts: list[
 
     Rows still allowed that fire a trigger become requests, named by a hash of the columns ``parts`` (unique rows),
     and are allowed if approved in time.  Adds gate_id, gate_trigger and gate_outcome, null for rows without a gate.
+
+    Decisions with the columns ``parts`` are those of the calls so named, whatever their ids.  Others come by gate_id, which
+    some 230 of a million calls share with another: an approval whose id several requests have doesn't say which is
+    meant, and counts as a denial.
     """
     column = lambda name: None if name is None else F.col(name)
     fired = triggered(policy.triggers, tool=column(tool), spent=column(spent), pii=column(pii))
     marked = df.withColumn("gate_trigger", F.when(F.col("allowed"), fired))
     text = F.lit(None).cast("string")
     free = marked.where("gate_trigger is null").withColumns({"gate_id": text, "gate_outcome": text})
-    asked = marked.where("gate_trigger is not null").withColumn("gate_id", gate_id(*[F.col(p) for p in parts]))
-    answered = resolve(asked.drop("allowed"), decisions, timeout_seconds=policy.timeout_seconds, on_timeout=policy.on_timeout, ts=ts)
+    # As a struct, in which nulls are equal: a part that is null names its call too.
+    call = F.struct(*[F.col(p) for p in parts])
+    asked = marked.where("gate_trigger is not null").withColumns({"gate_id": gate_id(*[F.col(p) for p in parts]), "_call": call})
+    if set(parts) <= set(decisions.columns):
+        key, decisions = "_call", decisions.withColumn("_call", call)
+    else:
+        key, decisions = "gate_id", _of_one_request(decisions, asked)
+    answered = resolve(asked.drop("allowed"), decisions, timeout_seconds=policy.timeout_seconds, on_timeout=policy.on_timeout, key=key, ts=ts)
     code = F.when(F.col("allowed"), F.col("reason_code")).otherwise(F.lit(CODES[Approval]))
     answered = answered.withColumn("reason_code", code).withColumnRenamed("outcome", "gate_outcome").drop("decided_at")
     return free.unionByName(answered.select(free.columns))
+
+
+def _of_one_request(decisions: DataFrame, asked: DataFrame) -> DataFrame:
+    """``decisions`` with the approvals of ids that several calls of ``asked`` share turned into denials."""
+    shared = asked.groupBy(F.col("gate_id").alias("_shared")).agg((F.min("_call") != F.max("_call")).alias("_several")).where("_several").select("_shared")
+    marked = decisions.join(shared, F.col("gate_id") == F.col("_shared"), "left")
+    return marked.withColumn("approved", F.col("approved") & F.col("_shared").isNull()).drop("_shared")
