@@ -66,6 +66,47 @@ def test_lookahead_is_bounded_and_pieces_equal_their_merges(ranks):
     assert all(sum(len(fst.bytes_of[t]) for t in owed) <= 2 * longest for s in fst._states.values() for owed, _, _ in s.hyps)
 
 
+def test_new_words_need_few_new_states(ranks):
+    """Readings that can no longer end are dropped, and previous tokens that leave the same open share states."""
+    codec = bpe_fst.Codec(ranks, P.PATTERN)
+    r = random.Random(11)
+    parts = "an ber che die ent er ge he in ion keit la lich nd ou que re sch th tion ung ver wh y".split()
+    words = ["".join(r.choice(parts) for _ in range(r.randint(2, 5))) for _ in range(12_000)]
+    codec.encode(" ".join(words[:10_000]))
+    first = len(codec.fst._states)
+    codec.encode(" ".join(words[10_000:]))
+    more = len(codec.fst._states) - first
+    assert first < 4_000
+    assert more < 400
+
+
+def made_up_ranks(r, alphabet, ordered):
+    """A vocabulary of random merges; if not ``ordered``, tokens may rank before their parts."""
+    parts, made = [bytes([b]) for b in alphabet], []
+    while len(made) < 40:
+        if len(token := r.choice(parts) + r.choice(parts)) <= 12 and token not in parts:
+            parts.append(token)
+            made.append(token)
+    if not ordered:
+        r.shuffle(made)
+    return {token: 3 * i for i, token in enumerate([bytes([b]) for b in range(256)] + made)}
+
+
+@pytest.mark.parametrize("used_bytes", [bpe_fst.USED_BYTES, 2])
+@pytest.mark.parametrize("ordered", [True, False])
+def test_made_up_vocabularies(ordered, used_bytes, monkeypatch):
+    monkeypatch.setattr(bpe_fst, "USED_BYTES", used_bytes)
+    r, kinds = random.Random(12), set()
+    for _ in range(40):
+        alphabet = r.choice([b"ab", b"abc", b"abcd\xc3"])
+        fst = bpe_fst.Transducer(own := made_up_ranks(r, alphabet, ordered))
+        kinds.add(fst._ordered)
+        for _ in range(60):
+            if (piece := bytes(r.choice(alphabet) for _ in range(r.randint(1, 30)))) not in own:
+                assert fst.piece(piece) == fst.merges(piece), (piece, own)
+    assert ordered in kinds
+
+
 def test_utf8_stream():
     data = "aé中😀�".encode() + b"\xff\xe2\x82z\xed\xa0\x80\xf4\x90\xc0\xe0\x9f\xc2"
     for a in range(len(data) + 1):

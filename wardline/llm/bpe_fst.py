@@ -11,8 +11,11 @@ and few others are inside a longer token.
 The transducer is determinised while it runs: a deterministic state is the set of live hypotheses with
 the tokens that each still owes, and what all of them owe in common is emitted on the transition.  A
 token therefore leaves as soon as the bytes seen rule out every other reading, at most the longest
-token's length later.  States and transitions are memoised, as are the ids of recurring text units, both
-within stated bounds that only cost recomputation.
+token's length later.  Of the previous token a state holds only what the merges could still join to the
+bytes that follow, and readings that no compatible token can end are dropped, so few states serve all texts
+(under ranks that put a token before its parts, a state holds the previous token itself).  States and
+transitions are memoised, as are the ids of recurring text units, both within stated bounds that only cost
+recomputation.
 
 Decoding joins token bytes and feeds them to an incremental UTF-8 state machine, which accepts chunks
 cut anywhere, inside a character too.
@@ -36,18 +39,26 @@ from .units import FRONT_SPACE, Memo, literal, unit_keys
 
 #: Memoised text units of one worker.
 UNIT_MEMO = 250_000
-#: Memoised deterministic states of one worker, and compatible pairs of tokens.  When full, further states are made for
+#: Memoised deterministic states of one worker, and compatible pairs of tokens (of ranks that put a token before its parts).  When full, further states are made for
 #: the moment only; after as many of those as RENEW times the bound, all start anew.
 STATE_MEMO, PAIR_MEMO, RENEW = 80_000, 150_000, 50
+#: Conflicts with parts up to so many bytes are looked up for all tokens below a node; with longer ones, when a token ends.
+USED_BYTES = 32
 #: A rank file beyond this is not a vocabulary to ship to every worker.
 MAX_RANK_FILE = 64 << 20
 
 
-class _State:
-    __slots__ = ("final", "hyps", "step")
+class _State(dict):
+    """Its transitions: by byte, the next state and the tokens emitted."""
+
+    __slots__ = ("final", "hyps")
 
     def __init__(self, hyps, final):
-        self.hyps, self.final, self.step = hyps, final, {}
+        self.hyps, self.final = hyps, final
+
+
+#: What a previous token leaves open when it conflicts with nothing that can follow.
+_FREE = ((), ())
 
 
 class Transducer:
@@ -59,64 +70,159 @@ class Transducer:
             raise ValueError(f"no token for the single bytes {missing[:8]}")
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self._children: list[dict[int, int]] = [{}]
-        self._ends: list[int] = [-1]
+        self._top = max(ranks.values()) + 1
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
+        #: The last merge of each token that the merges make of its own bytes; (-1, -1) for single bytes.
+        self._split: dict[int, tuple[int, int]] = {}
         for token, i in ranks.items():
+            parts = self.merges(token, 2) if len(token) > 1 else [-1, -1]
+            if len(parts) == 2:
+                self._split[i] = parts[0], parts[1]
+        #: Whether every token's parts rank before it, as in any vocabulary that was learned merge by merge.
+        self._ordered = all(max(parts) < i for i, parts in self._split.items())
+        self._build_trie()
+        self._reset()
+
+    def _build_trie(self) -> None:
+        """The trie of token bytes.
+
+        Of each node the least and greatest token below and the range of those in byte order, of each left part the
+        least and greatest token, of each token and length of its first parts (itself, its left part, that one's left part
+        and so on) the merge that uses the part up.
+        """
+        following: dict[int, int] = {}
+        parents, ends = array("i", [-1]), array("i", [-1])
+        order = sorted(self._split, key=self.bytes_of.__getitem__)
+        begin, stop = array("i", [0]), array("i", [len(order)])
+        used = np.full((USED_BYTES + 1, len(order)), -1, np.int32)
+        for at, i in enumerate(order):
             node = 0
-            for b in token:
-                if (nxt := self._children[node].get(b)) is None:
-                    nxt = self._children[node][b] = len(self._ends)
-                    self._children.append({})
-                    self._ends.append(-1)
+            for b in self.bytes_of[i]:
+                if (nxt := following.get(node << 8 | b)) is None:
+                    nxt = following[node << 8 | b] = len(ends)
+                    parents.append(node)
+                    ends.append(-1)
+                    begin.append(at)
+                    stop.append(at)
                 node = nxt
-            self._ends[node] = i
-        self._reset()
+                stop[node] = at + 1
+            ends[node] = i
+            begin[node] += 1
+            over, part = i, self._split[i][0]
+            while part >= 0:
+                if (n := len(self.bytes_of[part])) <= USED_BYTES:
+                    used[n, at] = over
+                over, part = part, self._split[part][0]
+        low, high = array("i", [self._top]) * len(ends), array("i", [-1]) * len(ends)
+        for node in range(len(ends) - 1, 0, -1):
+            up, own = parents[node], ends[node]
+            low[up] = min(low[up], low[node], own if own >= 0 else self._top)
+            high[up] = max(high[up], high[node], own)
+        least, most = array("i", [self._top]) * self._top, array("i", [-1]) * self._top
+        for i, (left, _) in self._split.items():
+            if left >= 0:
+                least[left], most[left] = min(least[left], i), max(most[left], i)
+        self._following, self._ends, self._low, self._high, self._least, self._most = following, ends, low, high, least, most
+        self._begin, self._stop, self._used = begin, stop, used
 
     def _reset(self) -> None:
         self._states: dict[tuple, _State] = {}
         self._passing = 0
-        self.start = self._states.setdefault(hyps := (((), -1, 0),), _State(hyps, ()))
+        self.start = self._states.setdefault(hyps := (((), _FREE if self._ordered else -1, 0),), _State(hyps, ()))
 
-    def merges(self, piece: bytes) -> list[int]:
-        """The definition: join the adjacent pair of lowest rank, leftmost first, until none is left."""
+    def merges(self, piece: bytes, until: int = 1) -> list[int]:
+        """The definition: join the adjacent pair of lowest rank, leftmost first, until none is left (or ``until`` parts are)."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         rank = self.ranks.get
-        while len(parts) > 1:
+        while len(parts) > until:
             least, at = min(((r, i) for i in range(len(parts) - 1) if (r := rank(parts[i] + parts[i + 1])) is not None), default=(None, 0))
             if least is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def _owns(self, token: int) -> bool:
-        if (known := self._own.get(token)) is None:
-            known = self._own[token] = self.merges(self.bytes_of[token]) == [token]
-        return known
+    def _left_open(self, token: int):
+        """What ``token`` before a token's start leaves open: (bound, node) pairs and (part, rank) conflicts.
 
-    def _compatible(self, left: int, right: int) -> bool:
-        if not self._owns(right):
-            return False
-        if left < 0:
+        A merge over the boundary joins a part at the token's end (the token, its right part, that one's right part and
+        so on) to a part at the next token's start, if it ranks before the merges that use these parts up.  A pair is a
+        part's trie node, moved on by the bytes since, and the rank that ends it; a conflict is a part of the
+        next token that a merge of that rank would join.  Tokens that leave the same open share their states.
+        """
+        if not self._ordered:
+            return token
+        pairs, bound, part = [], self._top, token
+        while part >= 0:
+            if self._least[part] < bound:
+                node = 0
+                for b in self.bytes_of[part]:
+                    node = self._following[node << 8 | b]
+                pairs.append((self._top if self._most[part] < bound else bound, node))
+            bound, part = part, self._split[part][1]
+        return (tuple(pairs), ()) if pairs else _FREE
+
+    def _narrowed(self, still, byte: int, child: int):
+        """``still`` after another byte, which leads to ``child``."""
+        if not self._ordered or still is _FREE:
+            return still
+        pairs, conflicts, right = [], dict(still[1]), self._ends[child]
+        for bound, node in still[0]:
+            if (node := self._following.get(node << 8 | byte)) is None:
+                continue
+            over = self._ends[node]
+            if right >= 0 and 0 <= over < bound and self._split[over][1] == right:
+                conflicts[right] = min(over, conflicts.get(right, over))
+            if self._low[node] < bound:
+                pairs.append((self._top if self._high[node] < bound else bound, node))
+        return (tuple(pairs), tuple(conflicts.items())) if pairs or conflicts else _FREE
+
+    def _onward(self, still, child: int):
+        """``still`` for readings that go on below ``child``, without conflicts that no token there has; None if every token there has one."""
+        if not self._ordered or not still[1]:
+            return still
+        conflicts, free = [], True
+        for part, rank in still[1]:
+            if (n := len(self.bytes_of[part])) > USED_BYTES:
+                conflicts.append((part, rank))
+                continue
+            hit = self._used[n, self._begin[child] : self._stop[child]] >= rank
+            if hit.any():
+                conflicts.append((part, rank))
+                free = free & ~hit
+                if not free.any():
+                    return None
+        return (still[0], tuple(conflicts)) if still[0] or conflicts else _FREE
+
+    def _compatible(self, still, right: int) -> bool:
+        """Whether the merges leave the boundary between what ``still`` stands for and the token ``right``."""
+        if self._ordered:
+            for joined, rank in still[1]:
+                bound, part = self._top, right
+                while part >= 0:
+                    if part == joined and rank <= bound:
+                        return False
+                    bound, part = part, self._split[part][0]
+            return True
+        if still < 0:
             return True
-        if (known := self._pairs.get((left, right))) is None:
-            known = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+        if (known := self._pairs.get((still, right))) is None:
+            known = self.merges(self.bytes_of[still] + self.bytes_of[right]) == [still, right]
             if len(self._pairs) < PAIR_MEMO:
-                self._pairs[left, right] = known
+                self._pairs[still, right] = known
         return known
 
     def _advance(self, state: _State, byte: int) -> tuple[_State, tuple]:
         hyps, final = [], None
-        for owed, last, node in state.hyps:
-            if (child := self._children[node].get(byte)) is None:
+        for owed, still, node in state.hyps:
+            if (child := self._following.get(node << 8 | byte)) is None:
                 continue
-            if self._children[child]:
-                hyps.append((owed, last, child))
+            still = self._narrowed(still, byte, child)
+            if self._low[child] < self._top and (onward := self._onward(still, child)) is not None:
+                hyps.append((owed, onward, child))
             token = self._ends[child]
-            if token >= 0 and final is None and self._compatible(last, token):
+            if token >= 0 and final is None and self._compatible(still, token):
                 final = (*owed, token)
-                hyps.append((final, token, 0))
+                hyps.append((final, self._left_open(token), 0))
         if final is None:
             raise ValueError("the ranks are no byte-pair vocabulary: a prefix has no valid tokenisation")
         common = final
@@ -128,7 +234,7 @@ class Transducer:
                 n += 1
             common = common[:n]
         k = len(common)
-        key = tuple((owed[k:], last, node) for owed, last, node in hyps)
+        key = tuple([(owed[k:], still, node) for owed, still, node in hyps])
         if (to := self._states.get(key)) is None:
             to = _State(key, final[k:])
             if len(self._states) >= STATE_MEMO:
@@ -140,7 +246,7 @@ class Transducer:
             self._states[key] = to
         step = to, common
         if self._states.get(state.hyps) is state:
-            state.step[byte] = step
+            state[byte] = step
         return step
 
     def piece(self, piece: bytes) -> list[int]:
@@ -150,10 +256,9 @@ class Transducer:
         out: list[int] = []
         state = self.start
         for byte in piece:
-            step = state.step.get(byte) or self._advance(state, byte)
-            if step[1]:
-                out += step[1]
-            state = step[0]
+            state, emitted = state.get(byte) or self._advance(state, byte)
+            if emitted:
+                out += emitted
         out += state.final
         return out
 
