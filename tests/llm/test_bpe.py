@@ -149,3 +149,13 @@ def test_empty_table(spark, docs, sf):
     assert bpe_fst.encode_documents(docs.limit(0), VOCABULARY, P.PATTERN).collect() == []
     out = queries.op7_bpe(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 200
+
+
+def test_a_worker_drops_the_memos_of_other_operators(monkeypatch):
+    from wardline.llm import bpe_fst, common, repeats
+
+    monkeypatch.setitem(bpe_fst._CODECS, "kept", object())
+    monkeypatch.setitem(repeats._HASHES, "word", 1)
+    assert list(common.slices(iter([]), memos=(bpe_fst._CODECS,))) == []
+    assert "kept" in bpe_fst._CODECS and not repeats._HASHES
+    assert list(common.slices(iter([]))) == [] and not bpe_fst._CODECS

@@ -138,3 +138,17 @@ def test_links_of_a_bucket_against_every_pair(monkeypatch):
         monkeypatch.setattr(near_copies, "PIVOTS", pivots)
         got = dict(bucket.links(0.8, 64))
         assert [got.get(k, k) for k in range(150)] == labels
+
+
+def test_a_large_bucket_takes_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    bucket = near_copies._Bucket()
+    bucket.ids, bucket.prints = list(range(3000)), [int(x) for x in r.integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2)]
+    bucket.sets = [np.unique(r.integers(0, 40_000, 60, np.uint64)).tobytes() for _ in range(3000)]
+    tracemalloc.start()
+    assert bucket.links(0.8, near_copies.error_budget(0.8)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20

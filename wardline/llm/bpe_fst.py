@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, slices
+from .common import filesystem, slices, worker_memo
 from .units import FRONT_SPACE, Memo, literal, unit_keys
 
 #: Memoised text units of one worker.
@@ -384,7 +384,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
-_CODECS: dict[tuple, Codec] = {}
+_CODECS: dict[tuple, Codec] = worker_memo({})
 
 
 def _codec(data: bytes, pattern: str) -> Codec:
@@ -411,7 +411,7 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, *, id_col: st
 
     def run(batches):
         codec = _codec(data.value, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, memos=(_CODECS,)):
             ids, digests, back, texts = [], [], [], []
             for raw in batch.column(batch.num_columns - 1).to_pylist():
                 own = codec.encode((raw or b"").decode("utf-8", "replace"))

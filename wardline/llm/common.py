@@ -11,11 +11,13 @@ from pyspark.sql import SparkSession
 
 from ..shared import scratch, shared_root, written
 
-__all__ = ["delete", "filesystem", "scratch", "shared_root", "slices", "trim", "written"]
+__all__ = ["delete", "filesystem", "release", "scratch", "shared_root", "slices", "trim", "worker_memo", "written"]
 
 #: Rows of text handed to Python code at a time; one row of any length still forms a batch.
 SLICE_ROWS = 256
 
+_MEMOS: list[dict] = []
+
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a scratch path that nothing reads any more."""
@@ -31,8 +33,27 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The batches cut to at most ``rows`` rows, so that Python holds few texts at a time; after the last, memory goes back."""
+def worker_memo(memo: dict) -> dict:
+    """``memo``, which a worker keeps from task to task until it gets a task of an operator that doesn't use it."""
+    _MEMOS.append(memo)
+    return memo
+
+
+def release(*used: dict) -> None:
+    """Empty every memo but those in use: a worker serves one operator after another, and would hold what all of them keep."""
+    others = [memo for memo in _MEMOS if memo and not any(memo is u for u in used)]
+    for memo in others:
+        memo.clear()
+    if others:
+        trim()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, memos: tuple[dict, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows, so that Python holds few texts at a time; after the last, memory goes back.
+
+    ``memos`` are the worker's memos that the task uses; all others go before the first batch.
+    """
+    release(*memos)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -37,6 +37,8 @@ PIVOTS = 16
 RUN = 1024
 #: The most that a bucket's table of shared shingles may take.
 TABLE_BYTES = 64 << 20
+#: Bytes of that table gathered at a time, to compare pairs.
+GATHER_BYTES = 4 << 20
 #: Documents' buckets are broadcast, to fetch their texts, while there are so many bucket rows (of 24 bytes) in all at most.
 BROADCAST_BUCKETS = 500_000
 
@@ -179,7 +181,17 @@ def _shared(sets: list[np.ndarray]):
     several = count[place] > 1
     bit = number[place[several]]
     np.bitwise_or.at(rows, (owner[several], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-    return lambda a, b: np.bitwise_count(rows[a] & rows[b]).sum(1, dtype=np.int64)
+    step = max(1, GATHER_BYTES // rows[0].nbytes) if len(rows) else 1
+
+    def count(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.empty(len(a), np.int64)
+        for at in range(0, len(a), step):
+            common = rows[a[at : at + step]]
+            common &= rows[b[at : at + step]]
+            both[at : at + step] = np.bitwise_count(common).sum(1, dtype=np.int64)
+        return both
+
+    return count
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, slices, trim, written
+from .common import filesystem, release, scratch, slices, trim, worker_memo, written
 
 #: A segment is closed at the document that brings it to so many bytes of text.
 SEGMENT_BYTES = 8 << 20
@@ -301,6 +301,7 @@ def contamination(index: DataFrame, items: DataFrame, *, window: int = 10, item_
     blocks = list(_block_files(index.sparkSession, items, window, item_col, text_col))
 
     def run(batches):
+        release(_LAST)
         rows = (batch.slice(k, 1).to_pylist()[0] for batch in batches for k in range(batch.num_rows))
         while group := list(islice(rows, 1 if len(blocks) == 1 else GROUP)):
             opened = [(Segment(row), {}, {}) for row in group]
@@ -342,7 +343,7 @@ def _block_files(spark, items: DataFrame, window: int, item_col: str, text_col:
 
 
 #: The block that this worker read last.
-_LAST: dict[str, Windows] = {}
+_LAST: dict[str, Windows] = worker_memo({})
 
 
 def _block(path: str) -> Windows:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, worker_memo, written
 
 #: Fewest words of a repeated passage.
 MIN_WORDS = 50
@@ -71,7 +71,7 @@ class _Powers:
         return self.pairs
 
 
-_HASHES, _POWERS = _Hashes(), _Powers()
+_HASHES, _POWERS = worker_memo(_Hashes()), _Powers()
 
 
 class Words:
@@ -151,7 +151,7 @@ def unit_table(df: DataFrame, *, min_words: int = MIN_WORDS, unit: str = "line",
         from xxhash import xxh64_intdigest
 
         i32, i64 = np.int32, np.int64
-        for batch in slices(batches, 64):
+        for batch in slices(batches, 64, (_HASHES,)):
             ids, raws = batch.column(0), batch.column(1).to_pylist()
             versions, words, lines, marks = [], [], [], []
             for raw in raws:
@@ -219,7 +219,7 @@ def _runs(docs: DataFrame, plans: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh64_intdigest
 
-        for batch in slices(batches, 32):
+        for batch in slices(batches, 32, (_HASHES,)):
             parts = []
             for row in batch.to_pylist():
                 if _signed(xxh64_intdigest(row["text"])) != row["version"]:

@@ -26,8 +26,8 @@ SEED = 42
 #: A bucket beyond so many distinct fingerprints is cut by further bits; at the last level 2 ** 19 are possible.
 BUCKET_ROWS = 2048
 LEVELS = 3
-#: Node pairs traversed at a time.
-FRONTIER = 1 << 20
+#: Node pairs traversed at a time: of their up to four times as many children, some copies are held at once (of 33 bytes each).
+FRONTIER = 1 << 16
 #: Pairs of leaves whose members are paired at a time.
 LEAF_PAIRS = 1 << 16
 

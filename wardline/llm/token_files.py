@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, scratch, trim, written
+from .common import filesystem, release, scratch, trim, worker_memo, written
 from .huffman import Reader, Writer, code_lengths
 from .units import Memo, literal, unit_keys
 
@@ -120,7 +120,7 @@ class Tokenizer:
         return [b"".join(out) for out in found]
 
 
-_TOKENIZERS: dict[tuple[bytes, bool], Tokenizer] = {}
+_TOKENIZERS: dict[tuple[bytes, bool], Tokenizer] = worker_memo({})
 
 
 def _tokenizer(definition: str, ordinary: bool = False) -> Tokenizer:
@@ -175,6 +175,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
     def tokenised(rows):
         import zstandard
 
+        release(_TOKENIZERS)
         tok, pack = _tokenizer(definition.value, ordinary), zstandard.ZstdCompressor(level=1).compress
         n = 0
         for batch in _batched(rows, 256):
