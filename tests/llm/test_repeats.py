@@ -143,3 +143,20 @@ def test_hard_rows(docs, rows):
     assert out.count() == len(rows) and set(out.columns) == {*docs.columns, "removed"}
     assert {r["doc_id"] for r in out.where("text is null").collect()} == {1}
     assert spans(docs.limit(0)) == [] and repeats.repeated_lines(docs.limit(0)).collect() == []
+
+
+def test_only_planned_texts_are_dealt_to_their_plans(spark, monkeypatch):
+    docs = spark.range(-3000, 5000).selectExpr("id as doc_id", "cast('x' as binary) as text")
+    plans = spark.range(-2999, 5000, 7).selectExpr("id as doc_id")
+    kept = {r["doc_id"] for r in repeats._planned(docs, plans).collect()}
+    asked = set(range(-2999, 5000, 7))
+    assert asked <= kept and len(kept - asked) < 20
+    monkeypatch.setattr(repeats, "PLAN_BITS", 1 << 8)
+    assert asked <= {r["doc_id"] for r in repeats._planned(docs, plans).collect()}
+
+
+def test_the_query_against_brute_force_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BROADCAST_PLANS", 0)
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(tuple(r)[:4] for r in queries.op5_substring_dedup(spark, sf).collect()) == plain(rows)

@@ -32,6 +32,8 @@ from .common import slices, worker_memo, written
 MIN_WORDS = 50
 #: So many documents' plans are broadcast at most, to fetch the texts whose runs are compared; each has at most PLAN_MARKS marks.
 BROADCAST_PLANS, PLAN_MARKS = 20_000, 200
+#: Bits of the map of planned documents that keeps other texts out of that join's shuffle: 8 MB, whatever their number.
+PLAN_BITS = 1 << 26
 #: Words whose hashes a worker remembers.
 WORD_MEMO = 300_000
 #: Places looked at together when marks are chosen.
@@ -209,11 +211,21 @@ def _chains(later: DataFrame, min_words: int) -> DataFrame:
     return joined.where(F.col("hi") - F.col("lo") >= min_words).select("doc_id", "version", "lo", "hi", "start", "stop", "first_doc_id")
 
 
+def _planned(docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """The documents whose id's bit is set in a map of the plans' ids: all with a plan, and few others while plans are few."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(PLAN_BITS)) + 1
+    bits = plans.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    placed = docs.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("at", F.bitmap_bit_position(bit))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = placed.join(F.broadcast(bits), "bucket").where(F.expr("shiftleft(1, cast(at % 8 as int))").bitwiseAND(byte) != 0)
+    return met.select(*docs.columns)
+
+
 def _runs(docs: DataFrame, plans: DataFrame, min_words: int) -> DataFrame:
     """A row for each run of ``min_words`` words around a mark of its document's plan, but for those inside a chain."""
     few = plans.agg(F.count(F.lit(1)), F.max(F.size("near") + F.size("taken"))).first()
     small = few[0] <= BROADCAST_PLANS and (few[1] or 0) <= PLAN_MARKS
-    joined = docs.join(F.broadcast(plans) if small else plans, "doc_id").select("doc_id", "text", "version", "near", "taken")
+    joined = (docs.join(F.broadcast(plans), "doc_id") if small else _planned(docs, plans).join(plans, "doc_id")).select("doc_id", "text", "version", "near", "taken")
     back = min_words - (min_words + 1) // 2
 
     def run(batches):
