@@ -141,3 +141,17 @@ def test_damage_is_seen():
         w = huffman.Writer(io.BytesIO(), huffman.code_lengths(np.array([3, 4, 0])))
         w.add(1, np.array([2], np.uint32))
         w.close()
+
+
+def test_words_at_the_front_of_a_line_pass_the_splitter(monkeypatch):
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = ["Ébloui a\nWord one,\nOther. end\nword a\nWord", "  two  spaces\n\n Lines\nÇa", "".join(f"w{'abcdefghij'[k % 10] * (k // 10)} " for k in range(1500)) + "end"]
+    tok = token_files.Tokenizer(token_files.read_definition(VOCABULARY))
+    whole, own = [], token_files.Tokenizer._ids
+    monkeypatch.setattr(tok, "_ids", lambda used, given: (whole.extend(given) if used is tok._library else None, own(used, given))[1])
+    for joined in (3, 512):
+        monkeypatch.setattr(token_files, "JOINED_WORDS", joined, raising=False)
+        tok._memo.clear()
+        found = tok.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert not [w for w in whole if w.strip() in ("Word", "Other.", "word", "Ça")]

@@ -26,6 +26,8 @@ from .common import filesystem, release, scratch, trim, worker_memo, written
 from .huffman import Reader, Writer, code_lengths
 from .units import Memo, literal, unit_keys
 
+#: Words that go to the library in one text.
+JOINED_WORDS = 512
 #: Memoised text units of one worker.
 UNIT_MEMO = 1_000_000
 #: A tokenizer file beyond this is not a vocabulary to ship to every worker.
@@ -36,10 +38,12 @@ FILE_TOKENS = 32 << 20
 MANIFEST = "part int, seq int, path string, bytes bigint, n_docs bigint, n_tokens bigint"
 
 
-# A unit that splits plainly: a line's first word or a word after a space, then at most one mark.  Its pieces
+# The key of a unit that splits plainly: a line's first word or a word after a space, then at most one mark.  Its pieces
 # under the byte-level split are the newline, the word with its space, and the mark.  The letters are those on
 # which every version of Unicode agrees.
-_PLAIN = re.compile("(\\n?)((?<!\\n) ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+_PLAIN = re.compile("(\\n|  ?| \\n|)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+# Whether a space is before the word, and the piece before it, by how the key begins (see ``literal``).
+_FRONTS = {"": (True, ""), "  ": (True, ""), " ": (False, ""), "\n": (False, "\n"), " \n": (False, "\n")}
 
 
 class Tokenizer:
@@ -49,13 +53,14 @@ class Tokenizer:
     under any other definition, and where a text has one of the tokens that the definition finds before it splits,
     the library gets the whole text.  Under that split a plain unit's pieces are known, so its word goes to the library
     as one piece, past its splitter, and is shared with the units that differ by a mark; all other units go to it whole.
+    Words go to it many in a text, a piece each with newlines for pieces between them, whose ids tell where each word's end.
     With ``ordinary`` the strings of special tokens are ordinary text; else they are those tokens, as the library has it.
     """
 
     def __init__(self, definition: str, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
 
         self._library = Library.from_str(definition)
         self._library.encode_special_tokens = ordinary
@@ -71,32 +76,53 @@ class Tokenizer:
         if self._units:
             self._words = Library.from_str(definition)
             self._words.encode_special_tokens = ordinary
-            self._words.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+            self._words.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
+            self._joined = not any("\n" in t["content"] for t in spec.get("added_tokens") or ())
             self._marks = {m: self._ids(self._library, [m])[0] for m in ("\n", *".,;:!?")} | {"": b""}
 
     @staticmethod
     def _ids(library, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, none of which has a newline."""
+        newline, out = self._marks["\n"], []
+        if not self._joined or len(newline) != 4:
+            return self._ids(self._words, words)
+        cut = int.from_bytes(newline, "little")
+        for at in range(0, len(words), JOINED_WORDS):
+            part = words[at : at + JOINED_WORDS]
+            ids = np.array(self._words.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == cut)).tolist()
+            if len(ends) != len(part) - 1:
+                # The newline's id stands for other text too.
+                out += self._ids(self._words, part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)])]
+        return out
+
     def _encoded(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of units that the memo doesn't have."""
-        memo, plain, whole, words = self._memo, {}, [], {}
+        memo, plain, whole, words, plainly = self._memo, [], [], {}, _PLAIN.fullmatch
         for key in keys:
-            text = literal(key)
-            if (m := _PLAIN.fullmatch(text)):
-                word = m[2]
-                plain[key] = m[1], (own := word[1:] if word[0] == " " else " " + word), m[3]
-                if own not in words and own not in memo:
-                    words[own] = word
+            if m := plainly(key):
+                front, word, after = m.groups()
+                spaced, before = _FRONTS[front]
+                # The key of the word alone.
+                own = word if spaced else " " + word
+                plain.append((key, before, own, after))
+                if own not in memo:
+                    words[own] = " " + word if spaced else word
             else:
                 whole.append(key)
-        fresh = dict(zip(words, self._ids(self._words, list(words.values()))))
+        fresh = dict(zip(words, self._word_ids(list(words.values()))))
         out = dict(zip(whole, self._ids(self._library, [literal(k) for k in whole])))
-        for key, (before, own, after) in plain.items():
+        marks = self._marks
+        for key, before, own, after in plain:
             ids = fresh.get(own)
-            out[key] = self._marks[before] + (memo[own] if ids is None else ids) + self._marks[after]
-        for key, ids in (fresh | out).items():
-            memo.keep(key, ids)
+            out[key] = marks[before] + (memo[own] if ids is None else ids) + marks[after]
+        memo.keep_all(fresh | out)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

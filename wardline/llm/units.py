@@ -48,3 +48,10 @@ class Memo(dict):
         if self.missed > 4 * self.limit:
             self.clear()
             self.missed = 0
+
+    def keep_all(self, entries: dict) -> None:
+        if len(self) + len(entries) <= self.limit:
+            self.update(entries)
+            return
+        for key, value in entries.items():
+            self.keep(key, value)
