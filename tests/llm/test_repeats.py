@@ -160,3 +160,15 @@ def test_the_query_against_brute_force_without_broadcasts(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r)[:4] for r in queries.op5_substring_dedup(spark, sf).collect()) == plain(rows)
+
+
+def test_units_and_marks_do_not_stay_on_disk(spark, docs):
+    import os
+
+    from wardline.llm.common import shared_root
+
+    folder = shared_root(spark).removeprefix("file://") + "/wardline"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = repeats.repeated_spans(docs, min_words=7)
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith(("units-", "marks-", "common-marks-"))]
+    assert found.count()

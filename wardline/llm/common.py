@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..shared import scratch, shared_root, written
 
-__all__ = ["delete", "filesystem", "release", "scratch", "shared_root", "slices", "trim", "worker_memo", "written"]
+__all__ = ["delete", "filesystem", "forget", "release", "scratch", "shared_root", "slices", "trim", "worker_memo", "written"]
 
 #: Rows of text handed to Python code at a time; one row of any length still forms a batch.
 SLICE_ROWS = 256
@@ -26,6 +27,12 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def forget(table: DataFrame) -> None:
+    """Remove a table that ``written`` gave and that nothing reads any more."""
+    for path in {unquote(f).rpartition("/")[0] for f in table.inputFiles()}:
+        delete(table.sparkSession, path)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI; works on the driver and on executors."""
     from pyarrow import fs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, worker_memo, written
+from .common import forget, slices, worker_memo, written
 
 #: Fewest words of a repeated passage.
 MIN_WORDS = 50
@@ -254,7 +254,10 @@ def _runs(docs: DataFrame, plans: DataFrame, min_words: int) -> DataFrame:
 
 
 def _set_in(df: DataFrame, units: DataFrame, chains: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, lo, hi, start, stop, first_doc_id) of the runs of ``min_words`` words that stand earlier and are in no chain."""
+    """(doc_id, version, lo, hi, start, stop, first_doc_id) of the runs of ``min_words`` words that stand earlier and are in no chain.
+
+    ``units`` is removed when the plans are made.
+    """
     taken = chains.groupBy("doc_id", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("taken"))
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     known = units.select("doc_id", "version", "n_words", "marks").join(taken, ["doc_id", "version"], "left").withColumn("taken", F.coalesce("taken", none))
@@ -270,6 +273,9 @@ def _set_in(df: DataFrame, units: DataFrame, chains: DataFrame, min_words: int,
     common = written(flat.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark"), "common-marks")
     near = flat.join(common, "mark").groupBy("doc_id", "version").agg(F.collect_list("at").alias("near"))
     plans = written(near.join(marks.select("doc_id", "version", "taken"), ["doc_id", "version"]), "run-plans")
+    # All that is left to do reads the plans, the chains and the documents.
+    for table in (units, marks, common):
+        forget(table)
     # Rows alike in id and text give the same runs under the same rank, which changes nothing.
     runs = written(_runs(_documents(df, id_col, text_col), plans, min_words), "runs")
     rank = F.struct("doc_id", "version", "at")
