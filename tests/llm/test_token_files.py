@@ -155,3 +155,77 @@ def test_words_at_the_front_of_a_line_pass_the_splitter(monkeypatch):
         found = tok.encode(texts)
         assert [np.frombuffer(x, "<u4").tolist() for x in found] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert not [w for w in whole if w.strip() in ("Word", "Other.", "word", "Ça")]
+
+
+def test_words_with_any_marks_pass_the_splitter_and_reach_the_model_once(monkeypatch):
+    library = Tokenizer.from_file(VOCABULARY)
+    words = ["thingthwh", "Éboulis", "schgeöst", "ONSHAN"]
+    marks = ["", ",", ".", "!!", "$$$", "###", ",###", ".***", "%%%", "&&&", ")", "...", "_", "`~^", "<=>", "[\\]", "{|}", "@/-+*"]
+    texts = [" ".join(w + m for w in words for m in marks), "\n".join(w + m for w in words for m in marks)]
+    tok = token_files.Tokenizer(token_files.read_definition(VOCABULARY))
+    whole, own = [], token_files.Tokenizer._ids
+    monkeypatch.setattr(tok, "_ids", lambda used, given: (whole.extend(given), own(used, given))[1])
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(whole) == len(set(whole)) and not [t for t in whole if any(c.isalpha() for c in t)]
+    # Split otherwise: runs of spaces, an apostrophe takes letters along, digits and letters that versions of Unicode may not share.
+    texts = ["  ".join(w + m for w in words for m in marks), "it's we'll. x'", "a,'s b.'t ''re", "don't, 'd'", "a1, 1a. ²x x² ẞ! ɐ. ʰ,", "word\u00a0, word\u3000.\tword\x1f,", "a\u0301, 😀!! ,a ..b \"c\""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_full_memo_gives_the_same_ids_and_goes_with_its_tokenizer(monkeypatch):
+    import weakref
+
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = [f"{a}{b} {b}{a}, {a}.\n{b}!! {a}{a}" for a in ("one", "Two", "drei", "vier") for b in ("fünf", "six", "sept")]
+    for limit in (0, 1, 5):
+        monkeypatch.setattr(token_files, "UNIT_MEMO", limit)
+        monkeypatch.setattr(token_files, "MARKS_MEMO", limit, raising=False)
+        tok = token_files.Tokenizer(token_files.read_definition(VOCABULARY))
+        assert [np.frombuffer(x, "<u4").tolist() for x in tok.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert len(tok._memo) <= limit
+    gone = weakref.ref(tok)
+    del tok
+    assert gone() is None
+
+
+def test_ids_are_counted_many_documents_at_a_time(monkeypatch):
+    r, calls, real = np.random.default_rng(3), [], np.bincount
+    documents = [r.integers(0, 50_000, n).astype(np.uint32) for n in r.integers(0, 300, 400)]
+    want = real(np.concatenate(documents), minlength=50_257)
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    assert (token_files.count_ids(iter(documents), 50_257) == want).all() and len(calls) == 1
+    monkeypatch.setattr(token_files, "COUNTED_IDS", 1000)
+    assert (token_files.count_ids(iter(documents), 50_257) == want).all() and 1 < len(calls) < 80
+    assert token_files.count_ids([], 5).tolist() == [0] * 5 == token_files.count_ids([np.zeros(0, np.uint32)], 5).tolist()
+
+
+def test_runs_of_white_space_are_found():
+    from wardline.llm import units
+
+    space = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["", "a", "a b", "a\nb", "é b\nc", "漢 b"] + [f"{x}{a}{b}{y}" for a in space for b in ("", *space) for x, y in (("a", "b"), ("é", "ü"), ("漢", "字 b\nc"))]
+    assert [units._spaced(t) for t in texts] == [units._RUNS.search(t) is not None for t in texts]
+
+
+def test_a_worker_keeps_its_tokenizer_from_task_to_task(spark, docs):
+    def mark(_):
+        import os
+
+        from wardline.llm import token_files as here
+
+        for tok in here._TOKENIZERS.values():
+            yield os.getpid(), getattr(tok, "seen", False)
+            tok.seen = True
+
+    def marked():
+        return spark.sparkContext.parallelize(range(16), 16).mapPartitions(mark).collect()
+
+    def write():
+        assert token_files.write_token_files(docs.repartition(16), VOCABULARY, scratch(spark, "t")).count()
+
+    write()
+    before = {pid for pid, _ in marked()}
+    write()
+    # A worker's later marks are of its first.
+    after = dict(reversed(marked()))
+    assert before & set(after) and all(after[pid] for pid in before & set(after))

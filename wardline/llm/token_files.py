@@ -14,8 +14,10 @@ import json
 import os
 import re
 import uuid
+import weakref
 import zlib
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,12 @@ from .common import filesystem, release, scratch, trim, worker_memo, written
 from .huffman import Reader, Writer, code_lengths
 from .units import Memo, literal, unit_keys
 
-#: Words that go to the library in one text.
-JOINED_WORDS = 512
 #: Memoised text units of one worker.
 UNIT_MEMO = 1_000_000
+#: Memoised runs of marks of one worker.
+MARKS_MEMO = 10_000
+#: Ids counted at a time.
+COUNTED_IDS = 1 << 20
 #: A tokenizer file beyond this is not a vocabulary to ship to every worker.
 MAX_TOKENIZER_FILE = 64 << 20
 #: A file is closed at the document that brings it to so many tokens.
@@ -38,35 +42,53 @@ FILE_TOKENS = 32 << 20
 MANIFEST = "part int, seq int, path string, bytes bigint, n_docs bigint, n_tokens bigint"
 
 
-# The key of a unit that splits plainly: a line's first word or a word after a space, then at most one mark.  Its pieces
-# under the byte-level split are the newline, the word with its space, and the mark.  The letters are those on
-# which every version of Unicode agrees.
-_PLAIN = re.compile("(\\n|  ?| \\n|)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+# Letters on which every version of Unicode agrees.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# The key of a unit that is a word after a space and no more.
+_BARE = re.compile(f"[{_LETTERS}]+")
+# The key of any unit that splits plainly: a line's first word or a word after a space, then marks.  Its pieces under
+# the byte-level split are the newline, the word with its space, and the marks together.  An apostrophe is no such mark:
+# the split may take letters with it.
+_PLAIN = re.compile(f"(\\n|  ?| \\n|)([{_LETTERS}]+)([!-&(-/:-@\\[-`{{-~]*)")
 # Whether a space is before the word, and the piece before it, by how the key begins (see ``literal``).
 _FRONTS = {"": (True, ""), "  ": (True, ""), " ": (False, ""), "\n": (False, "\n"), " \n": (False, "\n")}
 
 
+class _Units(Memo):
+    """Ids by unit key, which its tokenizer gives when they aren't there; it doesn't keep that from being freed."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__(UNIT_MEMO)
+        self.tokenizer = weakref.ref(tokenizer)
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.tokenizer()._unit_ids(key)
+        if len(self) < self.limit:
+            self[key] = ids
+        else:
+            self.keep(key, ids)
+        return ids
+
+
 class Tokenizer:
     """The tokenizers library over text units, each distinct unit encoded once.
 
     Only the usual byte-level split, without normalisation or truncation, treats a unit as it does the unit's text;
     under any other definition, and where a text has one of the tokens that the definition finds before it splits,
     the library gets the whole text.  Under that split a plain unit's pieces are known, so its word goes to the library
-    as one piece, past its splitter, and is shared with the units that differ by a mark; all other units go to it whole.
-    Words go to it many in a text, a piece each with newlines for pieces between them, whose ids tell where each word's end.
+    model as one piece, past its splitter, and is shared with the units that differ by marks; all other units go to it whole.
     With ``ordinary`` the strings of special tokens are ordinary text; else they are those tokens, as the library has it.
     """
 
     def __init__(self, definition: str, ordinary: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer as Library
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, Split
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._library = Library.from_str(definition)
         self._library.encode_special_tokens = ordinary
         self.width = self._library.get_vocab_size()
-        self._memo = Memo(UNIT_MEMO)
-        self._words = None
+        self._memo, self._marks = _Units(self), Memo(MARKS_MEMO)
         spec = json.loads(definition)
         split = spec.get("pre_tokenizer") or {}
         odd = any(spec.get(k) for k in ("normalizer", "truncation", "padding")) or (spec.get("model") or {}).get("dropout")
@@ -74,56 +96,43 @@ class Tokenizer:
         own = [t["content"] for t in spec.get("added_tokens") or () if not (ordinary and t.get("special"))]
         self._added = re.compile("|".join(map(re.escape, own))).search if own else None
         if self._units:
-            self._words = Library.from_str(definition)
-            self._words.encode_special_tokens = ordinary
-            self._words.pre_tokenizer = Sequence([Split("\n", "isolated"), ByteLevel(add_prefix_space=False, use_regex=False)])
-            self._joined = not any("\n" in t["content"] for t in spec.get("added_tokens") or ())
-            self._marks = {m: self._ids(self._library, [m])[0] for m in ("\n", *".,;:!?")} | {"": b""}
+            letters = [chr(c) for c in range(0x250) if _BARE.fullmatch(chr(c))]
+            as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            # The bytes of a word's characters as the model has them.
+            self._bytes = {ord(c): as_bytes(c)[0][0] for c in (" ", *letters)}
+            self._tokens = self._library.model.tokenize
 
     @staticmethod
     def _ids(library, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, none of which has a newline."""
-        newline, out = self._marks["\n"], []
-        if not self._joined or len(newline) != 4:
-            return self._ids(self._words, words)
-        cut = int.from_bytes(newline, "little")
-        for at in range(0, len(words), JOINED_WORDS):
-            part = words[at : at + JOINED_WORDS]
-            ids = np.array(self._words.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * np.flatnonzero(ids == cut)).tolist()
-            if len(ends) != len(part) - 1:
-                # The newline's id stands for other text too.
-                out += self._ids(self._words, part)
-                continue
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)])]
-        return out
-
-    def _encoded(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of units that the memo doesn't have."""
-        memo, plain, whole, words, plainly = self._memo, [], [], {}, _PLAIN.fullmatch
-        for key in keys:
-            if m := plainly(key):
-                front, word, after = m.groups()
-                spaced, before = _FRONTS[front]
-                # The key of the word alone.
-                own = word if spaced else " " + word
-                plain.append((key, before, own, after))
-                if own not in memo:
-                    words[own] = " " + word if spaced else word
-            else:
-                whole.append(key)
-        fresh = dict(zip(words, self._word_ids(list(words.values()))))
-        out = dict(zip(whole, self._ids(self._library, [literal(k) for k in whole])))
-        marks = self._marks
-        for key, before, own, after in plain:
-            ids = fresh.get(own)
-            out[key] = marks[before] + (memo[own] if ids is None else ids) + marks[after]
-        memo.keep_all(fresh | out)
-        return out
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of a word of letters with its space, if it has one."""
+        return array("I", [t.id for t in self._tokens(word.translate(self._bytes))]).tobytes()
+
+    def _mark_ids(self, mark: str) -> bytes:
+        """Ids of a newline, or of marks that are one piece."""
+        ids = self._marks.get(mark)
+        if ids is None:
+            ids = self._ids(self._library, [mark])[0]
+            self._marks.keep(mark, ids)
+        return ids
+
+    def _unit_ids(self, key: str) -> bytes:
+        """Ids of a unit that the memo doesn't have."""
+        if _BARE.fullmatch(key):
+            return self._word_ids(" " + key)
+        plain = _PLAIN.fullmatch(key)
+        if not plain:
+            return self._ids(self._library, [literal(key)])[0]
+        front, word, after = plain.groups()
+        spaced, before = _FRONTS[front]
+        # The key of the word alone, unless that is the unit.
+        own = word if spaced else " " + word
+        ids = self._word_ids(literal(own)) if own == key else self._memo[own]
+        if before:
+            ids = self._mark_ids(before) + ids
+        return ids + self._mark_ids(after) if after else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -135,15 +144,8 @@ class Tokenizer:
         return self._by_units(texts)
 
     def _by_units(self, texts: list[str]) -> list[bytes]:
-        keys = [unit_keys(t) for t in texts]
-        found = [list(map(self._memo.get, own)) for own in keys]
-        gaps = [[i for i, ids in enumerate(out) if ids is None] for out in found]
-        if missing := list(dict.fromkeys(own[i] for own, gap in zip(keys, gaps) for i in gap)):
-            fresh = self._encoded(missing)
-            for own, out, gap in zip(keys, found, gaps):
-                for i in gap:
-                    out[i] = fresh[own[i]]
-        return [b"".join(out) for out in found]
+        ids_of = self._memo.__getitem__
+        return [b"".join(map(ids_of, unit_keys(t))) for t in texts]
 
 
 _TOKENIZERS: dict[tuple[bytes, bool], Tokenizer] = worker_memo({})
@@ -157,6 +159,16 @@ def _tokenizer(definition: str, ordinary: bool = False) -> Tokenizer:
     return _TOKENIZERS[key]
 
 
+def _task_tokenizer(definition: str, ordinary: bool) -> Tokenizer:
+    """The worker's tokenizer, when a task begins.
+
+    A function of the module, since a task's own functions get copies of the globals that they name, so that the
+    worker's memo would be none that the task uses, and go.
+    """
+    release(_TOKENIZERS)
+    return _tokenizer(definition, ordinary)
+
+
 def read_definition(path: str) -> str:
     """The tokenizer file at ``path`` (a URI or local path), read on the driver; refused beyond MAX_TOKENIZER_FILE."""
     fs, at = filesystem(path)
@@ -178,6 +190,20 @@ def _batched(rows, size: int, volume: int = 1 << 21):
         yield batch
 
 
+def count_ids(documents: Iterable[np.ndarray], width: int) -> np.ndarray:
+    """How often each id below ``width`` occurs; documents are counted many at a time, as each count is as long as the vocabulary."""
+    total, held, size = np.zeros(width, np.int64), [], 0
+    for ids in documents:
+        held.append(ids)
+        size += len(ids)
+        if size >= COUNTED_IDS:
+            total += np.bincount(np.concatenate(held), minlength=width)
+            held, size = [], 0
+    if held:
+        total += np.bincount(np.concatenate(held), minlength=width)
+    return total
+
+
 def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ordinary: bool = False) -> DataFrame:
     """Tokenise whole texts, append ``end_id`` to each and write the ids under ``folder`` in ascending ``id_col`` order.
 
@@ -201,8 +227,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
     def tokenised(rows):
         import zstandard
 
-        release(_TOKENIZERS)
-        tok, pack = _tokenizer(definition.value, ordinary), zstandard.ZstdCompressor(level=1).compress
+        tok, pack = _task_tokenizer(definition.value, ordinary), zstandard.ZstdCompressor(level=1).compress
         n = 0
         for batch in _batched(rows, 256):
             for row, ids in zip(batch, tok.encode([t or "" for _, t in batch])):
@@ -229,10 +254,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, *, end_id: int
     dealt = source.mapPartitions(tokenised).partitionBy(first + len(bounds) + 1, deal)
 
     def counted(rows):
-        total = np.zeros(wide.value, np.int64)
-        for _, data in rows:
-            total += np.bincount(ids_of(data), minlength=len(total))
-        yield total
+        yield count_ids((ids_of(data) for _, data in rows), wide.value)
 
     counts = dealt.mapPartitions(counted).treeReduce(lambda a, b: a + b, depth=3)
     lengths = spark.sparkContext.broadcast(code_lengths(counts))

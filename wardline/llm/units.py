@@ -14,13 +14,26 @@ FRONT_SPACE = frozenset((r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 # White space as the pattern's \s has it; Python's also counts U+001C..U+001F.
 _UNITS = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
 _RUNS = re.compile(r"\s\s")
+# Pairs of spaces and newlines, and all other white space: a text with none of these has no run.
+_ODD = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
+_ODD_ASCII = (*_PAIRS, *(c for c in _ODD if c < "\x80"))
+_ODD_ALL = (*_PAIRS, *_ODD)
+
+
+def _spaced(text: str) -> bool:
+    """Whether the text has two characters of white space in a row.  Most texts have none, and single characters are found faster than the pattern."""
+    for odd in _ODD_ASCII if text.isascii() else _ODD_ALL:
+        if odd in text:
+            return _RUNS.search(text) is not None
+    return False
 
 
 def unit_keys(text: str) -> list[str]:
     """Keys of the text's units in order.  ``literal`` gives a key's unit; equal units need not have equal keys."""
     if not text:
         return []
-    if text[0].isspace() or text[-1].isspace() or _RUNS.search(text):
+    if text[0].isspace() or text[-1].isspace() or _spaced(text):
         return [" " + u for u in _UNITS.findall(text)]
     keys = text.replace("\n", " \n").split(" ")
     keys[0] = " " + keys[0]
